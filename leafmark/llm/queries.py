@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from leafmark.llm import line_dedup, quality_classifier
+from leafmark.llm import line_dedup, minhash, mixing, packing, quality_classifier
 
 QUERIES = {
+    "op1_mixing": mixing.op1_query,
     "op2_line_dedup": line_dedup.op2_query,
     "op3_quality_classifier": quality_classifier.op3_query,
+    "op5_packing": packing.op5_query,
+    "op9_minhash": minhash.op9_query,
 }
 
 ORACLE_SQL = {
