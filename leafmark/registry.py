@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules with QUERIES (key -> function of spark, sf_dir) and ORACLE (key -> DuckDB SQL).
-MODULES: list[str] = []
+MODULES: list[str] = [
+    "leafmark.operators.rankings",
+]
 
 
 def _all(attribute: str) -> dict:
