@@ -7,6 +7,8 @@ from importlib import import_module
 #: Modules with QUERIES (key -> function of spark, sf_dir) and ORACLE (key -> DuckDB SQL).
 MODULES: list[str] = [
     "leafmark.operators.rankings",
+    "leafmark.functions.queries",
+    "leafmark.operators.review",
 ]
 
 
