@@ -9,6 +9,8 @@ MODULES: list[str] = [
     "leafmark.operators.rankings",
     "leafmark.functions.queries",
     "leafmark.operators.review",
+    "leafmark.operators.reports",
+    "leafmark.operators.records",
 ]
 
 
