@@ -208,7 +208,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("job_id"),
         (F.col("user_id") % 10).alias("batch_id"),
         F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in status.items()]).alias("status"),
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         "value",
         F.col("props").alias("payload"),
     )

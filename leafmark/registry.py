@@ -11,6 +11,8 @@ MODULES: list[str] = [
     "leafmark.operators.review",
     "leafmark.operators.reports",
     "leafmark.operators.records",
+    "leafmark.operators.pages",
+    "leafmark.streaming.jobs",
 ]
 
 
