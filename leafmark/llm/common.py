@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +42,52 @@ def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, remembered for frequent words; bounded."""
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_rng = np.random.default_rng(29)
+_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64)
+#: Bytes hashed at a time, and an odd base with its powers and those of its inverse modulo 2**64.
+_PIECE = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
 
-    LIMIT = 400_000
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+_UP, _DOWN = _powers(_BASE, _PIECE), _powers(pow(_BASE, -1, 1 << 64), _PIECE)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of a text's words, lower-cased, in order. Words are runs of anything but ASCII white space.
+
+    A word's hash comes from prefix sums of its bytes' random values times powers of an odd base, so the cost is
+    a few array operations a byte. Long texts are hashed piece by piece, between words.
+    """
+    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.empty(len(raw) + 2, bool)
+    inside[0] = inside[-1] = False
+    np.logical_not(_SPACE[raw], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, low + _PIECE, side="right")))
+        piece = raw[low : ends[to - 1]]
+        if len(piece) > _PIECE:  # one word longer than a piece
+            up, down = _powers(_BASE, len(piece)), _DOWN
+        else:
+            up, down = _UP[: len(piece)], _DOWN
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(_BYTE[piece] * up, out=sums[1:])
+        s, e = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = (sums[e] - sums[s]) * down[s]
+        at = to
+    return mix64(out)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

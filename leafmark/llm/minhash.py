@@ -8,11 +8,10 @@
 3. Four draws make a band; documents that agree on one of 16 bands share a bucket. At a similarity of 0.8
    a pair shares no bucket with probability 2e-4.
 4. Verification by weighted Jaccard similarity of the whole texts' shingles. First every member of a
-   bucket is compared with the bucket's smallest one. Then, in buckets that still hold more than one
-   component, members of different components are compared by their draws in blocks, and what the draws
-   do not rule out (under 0.5 of them agree; 1e-9 at 0.8) by their texts. Pairs that are already connected are never formed, so
-   a large group of copies costs a number of comparisons in proportion to its size, and no link between
-   components is lost.
+   bucket is compared with one centre, the text that is in the largest buckets. Then, in buckets that still
+   hold more than one component, members of different components are compared in blocks, by their draws
+   and, where those do not rule it out (under half of them agree), by their shingles. Blocks yield spanning forests, so no pairs
+   are ever listed and no link between components is lost.
 5. Links become components; a class is named after its smallest doc_id.
 
 Documents with the same text are one node throughout: sketches, buckets and links know texts, not rows.
@@ -33,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import WordHashes, bounded_batches, connected_components, materialize, mix64, ngram_hashes
+from leafmark.llm.common import bounded_batches, connected_components, materialize, mix64, ngram_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -48,23 +47,24 @@ STEP = 0.125
 #: Random variables of a draw are read from this many cells by a hash of the shingle.
 CELLS = 1 << 12
 BLOCK = 512
-_hashes = WordHashes()
+#: Pairs of which a smaller share of draws agree are not looked at further: 1e-9 of those at 0.8.
+RULE_OUT = 0.5
+#: Shingles compared at a time in a block.
+STRIP = 8192
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of a whole text, in order, and how often each occurs."""
-    words = _hashes.of((text or "").lower().split())
+    words = word_hashes(text)
     return np.unique(ngram_hashes(words, min(n, len(words))) if len(words) else words, return_counts=True)
 
 
 class Sampler:
     """Consistent weighted draws for one frequency table."""
 
-    def __init__(self, idf: np.ndarray, seed: int = 5, drawing: bool = True):
-        self.idf = idf
-        if not drawing:
-            return
+    def __init__(self, idf: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
+        self.idf = idf
         self.multipliers = rng.integers(1, 1 << 63, DRAWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.r = rng.gamma(2, 1, (DRAWS, CELLS))
         self.log_c = np.log(rng.gamma(2, 1, (DRAWS, CELLS)))
@@ -108,13 +108,28 @@ class Sampler:
         return names
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two sets of shingles and weights."""
-    both, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    shared = np.minimum(a[1][i], b[1][j]).sum()
-    return float(shared / (a[1].sum() + b[1].sum() - shared))
+def features(text: str | None) -> np.ndarray:
+    """A text's weighted shingles as a set: the k-th occurrence of a shingle is an element of its own.
+
+    The low bits of an element are its shingle's bucket in the frequency table, which gives its weight; the weight of the
+    intersection of two such sets is the sum of the lesser weights of their shingles.
+    """
+    found, tf = shingles(text)
+    each = np.repeat(found, tf)
+    nth = (np.arange(len(each)) - np.repeat(np.cumsum(tf) - tf, tf)).astype(np.uint64)
+    mixed = mix64(each + nth * np.uint64(0x9E3779B97F4A7C15))
+    low = np.uint64(TABLE - 1)
+    return np.sort((mixed & ~low) | (each & low))
+
+
+def weight(elements: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    return idf[(elements & np.uint64(TABLE - 1)).astype(np.int64)]
+
+
+def similarity(a: np.ndarray, b: np.ndarray, idf: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two feature sets."""
+    shared = weight(np.intersect1d(a, b, assume_unique=True), idf).sum()
+    return float(shared / (weight(a, idf).sum() + weight(b, idf).sum() - shared)) if shared else 0.0
 
 
 def node(text: str = "text") -> Column:
@@ -178,64 +193,135 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return texts.mapInPandas(sketch, "node long, bands array<long>, draws binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Of (a, b) pairs of nodes, those whose texts are at least so similar, as (src, dst)."""
-    table = pairs.sparkSession.sparkContext.broadcast(idf)
+def feature_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, features, n) of the wanted nodes' texts."""
+
+    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [features(text) for text in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "features": [x.tobytes() for x in found], "n": [len(x) for x in found]})
+
+    texts = docs.where(has_words()).select(node().alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return texts.mapInPandas(take, "node long, features binary, n long")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sampler = Sampler(table.value, drawing=False)
-        last: tuple[str | None, tuple] = (None, ())
 
-        def weighted(text: str) -> tuple[np.ndarray, np.ndarray]:
-            found, levels = sampler.levels(text)
-            return found, np.exp(levels * STEP)
+def verified(pairs: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """Of (a, b) pairs of nodes, those that are at least so similar, as (src, dst)."""
+    weights = pairs.sparkSession.sparkContext.broadcast(idf)
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                if last[0] != left:  # a bucket's smallest text comes again and again
-                    last = left, weighted(left)
-                keep.append(similarity(last[1], weighted(right)) >= threshold)
-            yield pdf.loc[keep, ["src", "dst"]]
-
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+            sims = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), weights.value) for x, y in zip(pdf["left"], pdf["right"], strict=True)]
+            yield pdf.loc[[s >= threshold for s in sims], ["src", "dst"]]
+
+    side = lambda c, name: table.select(F.col("node").alias(c), F.col("features").alias(name))
+    both = pairs.join(side("b", "right"), "b").join(side("a", "left"), "a")
     return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "left", "right").mapInPandas(compare, "src long, dst long")
 
 
-def open_pairs(members: DataFrame, drawn: DataFrame, least_share: float) -> DataFrame:
-    """(a, b) in a common bucket but different components whose draws do not rule the threshold out.
+def _block_links(a: list[np.ndarray], b: list[np.ndarray], asked: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the asked pairs of two blocks of feature sets are similar enough.
 
-    Buckets are cut into blocks of about BLOCK members, so neither a task nor a row holds a whole bucket.
+    Few pairs are compared one by one. Many are compared at once: shingles that several sets hold become columns, a strip at a time,
+    and products of the two blocks add up the shared weights.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    i, j = np.nonzero(asked)
+    out = np.zeros(asked.shape, bool)
+    if len(i) <= 64:
+        for x, y in zip(i, j, strict=True):
+            out[x, y] = similarity(a[x], b[y], idf) >= threshold
+        return out
+    rows, cols = np.unique(i), np.unique(j)
+    sets = [a[x] for x in rows] + [b[y] for y in cols]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    elements, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    shared = np.zeros((len(rows), len(cols)))
+    place = np.full(len(elements), -1)
+    for start in range(0, len(several), STRIP):
+        strip = several[start : start + STRIP]
+        place[:] = -1
+        place[strip] = np.arange(len(strip))
+        inside = place[column] >= 0
+        grid = np.zeros((len(sets), len(strip)), np.float32)
+        grid[owner[inside], place[column[inside]]] = 1
+        shared += (grid[: len(rows)] * weight(elements[strip], idf).astype(np.float32)) @ grid[len(rows) :].T
+    total = np.array([weight(x, idf).sum() for x in sets])
+    union = total[: len(rows), None] + total[None, len(rows) :] - shared
+    x, y = np.searchsorted(rows, i), np.searchsorted(cols, j)
+    # Products are in single precision: what is within their error of the threshold is compared exactly.
+    value = shared[x, y] / union[x, y]
+    for k in np.flatnonzero(np.abs(value - threshold) < 1e-4):
+        value[k] = similarity(a[i[k]], b[j[k]], idf)
+    out[i, j] = value >= threshold
+    return out
+
+
+def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """(src, dst) joining components that share a bucket, from all pairs of their members there.
+
+    members: (node, band, bucket, component). Buckets are cut into blocks of bounded members and features, so neither a
+    task nor a row holds a whole bucket. A pair is looked at in its first common bucket only, and its draws are looked at before its
+    features. Blocks give spanning forests of their links, never pairs.
+    """
+    weights = members.sparkSession.sparkContext.broadcast(idf)
+    sized = members.join(table.select("node", "n"), "node")
+    sizes = sized.groupBy("band", "bucket").agg(
+        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 1000))).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")
+    ).where("low <> high").drop("low", "high")
     blocks = (
-        members.join(sizes.select("bucket", "n"), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.ceil(F.col("n") / BLOCK)).cast("int"))
+        members.join(sizes, ["band", "bucket"])
+        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
         .join(drawn, "node")
-        .groupBy("bucket", "block")
-        .agg(F.collect_list(F.struct("node", "component", "draws")).alias("rows"))
+        .join(table.select("node", "features"), "node")
+        .groupBy("band", "bucket", "block")
+        .agg(F.collect_list(F.struct("node", "component", "draws", "features")).alias("rows"))
     )
-    both = blocks.select("bucket", F.col("block").alias("x"), F.col("rows").alias("left")).join(blocks.select("bucket", F.col("block").alias("y"), F.col("rows").alias("right")), "bucket").where("x <= y")
+    blocks = materialize(blocks)
+    both = blocks.select("band", "bucket", F.col("block").alias("x"), F.col("rows").alias("left")).join(
+        blocks.select("band", "bucket", F.col("block").alias("y"), F.col("rows").alias("right")), ["band", "bucket"]
+    ).where("x <= y")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def unpack(rows):
-            return (
-                np.array([r["node"] for r in rows], np.int64),
-                np.array([r["component"] for r in rows], np.int64),
-                np.stack([np.frombuffer(r["draws"], np.uint32) for r in rows]),
-            )
+    def unpack(rows):
+        draws = np.stack([np.frombuffer(r["draws"], np.uint32) for r in rows])
+        return np.array([r["node"] for r in rows], np.int64), np.array([r["component"] for r in rows], np.int64), draws, [np.frombuffer(r["features"], np.uint64) for r in rows]
 
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for left, right in zip(pdf["left"], pdf["right"], strict=True):
-                (a, ca, da), (b, cb, db) = unpack(left), unpack(right)
-                agree = np.zeros((len(a), len(b)), np.int16)
-                for k in range(DRAWS):
-                    agree += da[:, k, None] == db[None, :, k]
-                i, j = np.nonzero((agree >= least_share * DRAWS) & (ca[:, None] != cb[None, :]))
-                yield pd.DataFrame({"a": np.minimum(a[i], b[j]), "b": np.maximum(a[i], b[j])})
-
-    bounded_batches(members.sparkSession, 50)
-    return both.select("left", "right").mapInPandas(compare, "a long, b long").distinct()
+            for band, x, y, left, right in zip(pdf["band"], pdf["x"], pdf["y"], pdf["left"], pdf["right"], strict=True):
+                a, ca, da, fa = unpack(left)
+                b, cb, db, fb = (a, ca, da, fa) if x == y else unpack(right)
+                asked = ca[:, None] != cb[None, :]
+                if x == y:
+                    asked = np.triu(asked, 1)
+                agree = np.zeros(asked.shape, np.int16)
+                for k in range(BANDS):
+                    own = np.zeros(asked.shape, np.int16)
+                    for d in range(k * ROWS, (k + 1) * ROWS):
+                        own += da[:, d, None] == db[None, :, d]
+                    agree += own
+                    if k < band:
+                        asked &= own < ROWS
+                asked &= agree >= RULE_OUT * DRAWS
+                i, j = np.nonzero(_block_links(fa, fb, asked, weights.value, threshold)) if asked.any() else ((), ())
+                if not len(i):
+                    continue
+                # Members of a component are one already: a forest over components is enough.
+                names, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+                src, dst = at[: len(ca)][i], at[len(ca) :][j]
+                label = np.arange(len(names))
+                while True:
+                    least = np.minimum(label[src], label[dst])
+                    if (label[src] == least).all() and (label[dst] == least).all():
+                        break
+                    np.minimum.at(label, src, least)
+                    np.minimum.at(label, dst, least)
+                    label = label[label]
+                moved = np.flatnonzero(label != np.arange(len(names)))
+                yield pd.DataFrame({"src": names[moved], "dst": names[label[moved]]})
+
+    bounded_batches(members.sparkSession, 8)
+    return both.select("band", "x", "y", "left", "right").mapInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -244,18 +330,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bounded_batches(spark)
     idf = idf_table(docs)
     drawn = materialize(sketches(docs, idf))
-    buckets = drawn.select("node", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("bucket", "a")
-    members = materialize(buckets.join(shared, "bucket"))
-    wanted = members.select("node").distinct()
-    texts = materialize(docs.where(has_words()).select(node().alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"]))
-    stars = members.where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(verified(stars, texts, idf, threshold))
+    buckets = drawn.select("node", F.posexplode("bands").alias("band", "bucket"))
+    shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialize(buckets.join(shared, ["band", "bucket"]))
+    # A text close to many others is in their large buckets: it is the centre they are compared with.
+    known = members.groupBy("node").agg(F.sum("size").alias("fame"))
+    centres = members.join(known, "node").groupBy("band", "bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("a"))
+    table = materialize(feature_table(docs, known))
+    stars = members.join(centres, ["band", "bucket"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    links = materialize(verified(stars, table, idf, threshold))
     found = connected_components(links)
-    labelled = members.select("node", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    pairs = open_pairs(labelled, drawn.select("node", "draws"), threshold - 0.3).join(stars, ["a", "b"], "left_anti")
+    labelled = members.select("node", "band", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = materialize(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold))
     bounded_batches(spark)
-    more = materialize(verified(pairs, texts, idf, threshold))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more))
     ids = docs.where(has_words()).groupBy(node().alias("node")).agg(F.min("doc_id").alias("first_id"))

@@ -22,14 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import WordHashes, bounded_batches, materialize, mix64, ngram_hashes
-
-_hashes = WordHashes()
+from leafmark.llm.common import bounded_batches, materialize, mix64, ngram_hashes, word_hashes
 
 
 def buckets_of(text: str | None, n_buckets: int) -> np.ndarray:
     """The buckets of a text's words and word pairs, lower-cased, one entry per occurrence."""
-    words = _hashes.of((text or "").lower().split())
+    words = word_hashes(text)
     return (np.concatenate([mix64(words), ngram_hashes(words, 2)]) & np.uint64(n_buckets - 1)).astype(np.int64)
 
 
