@@ -12,6 +12,7 @@ MODULES: list[str] = [
     "leafmark.operators.reports",
     "leafmark.operators.records",
     "leafmark.operators.pages",
+    "leafmark.operators.lines",
     "leafmark.streaming.jobs",
 ]
 
