@@ -13,6 +13,7 @@ MODULES: list[str] = [
     "leafmark.operators.records",
     "leafmark.operators.pages",
     "leafmark.operators.lines",
+    "leafmark.operators.matching",
     "leafmark.streaming.jobs",
 ]
 
