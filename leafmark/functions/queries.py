@@ -52,8 +52,12 @@ def _subs(**columns):
     return lambda s, d: T.submissions(s, d).select("doc_id", *[(f() if callable(f) else f).alias(k) for k, f in columns.items()])
 
 
-STRUCTURE = F.when(F.col("doc_id") % 7 == 0, "multi").when(F.col("doc_id") % 7 == 1, "template").otherwise("single")
-LAYOUT = F.when(F.col("doc_id") % 8 == 0, "ifi_official_scanned").when(F.col("doc_id") % 8 == 1, "ifi_official_typed")
+def _structure():
+    return F.when(F.col("doc_id") % 7 == 0, "multi").when(F.col("doc_id") % 7 == 1, "template").otherwise("single")
+
+
+def _layout():
+    return F.when(F.col("doc_id") % 8 == 0, "ifi_official_scanned").when(F.col("doc_id") % 8 == 1, "ifi_official_typed")
 
 
 def _email_list():
@@ -97,10 +101,10 @@ QUERIES = {
     "header_score": lambda s, d: T.pages(s, d).select("doc_id", "page_index", X.header_score(F.col("text")).alias("score"), X.header_score(F.col("text"), True).alias("relaxed")),
     "suspicious_name": _one(names, X.suspicious_name, "suspicious"),
     "route_doc_type": _subs(
-        routed=lambda: X.route_doc_type(F.col("doc_id") % 20 == 0, STRUCTURE, F.col("format"), LAYOUT, F.col("ocr_confidence_avg"), F.col("doc_id") % 3 == 2, F.col("filename"))
+        routed=lambda: X.route_doc_type(F.col("doc_id") % 20 == 0, _structure(), F.col("format"), _layout(), F.col("ocr_confidence_avg"), F.col("doc_id") % 3 == 2, F.col("filename"))
     ),
-    "doc_class": _subs(cls=lambda: X.doc_class(F.col("format"), STRUCTURE, F.col("doc_id") % 3 + 1, F.col("doc_id") % 2 + 1)),
-    "doc_role": _subs(role=lambda: X.doc_role(F.col("is_chunk"), F.col("is_container_parent"), STRUCTURE, F.col("doc_class"))),
+    "doc_class": _subs(cls=lambda: X.doc_class(F.col("format"), _structure(), F.col("doc_id") % 3 + 1, F.col("doc_id") % 2 + 1)),
+    "doc_role": _subs(role=lambda: X.doc_role(F.col("is_chunk"), F.col("is_container_parent"), _structure(), F.col("doc_class"))),
     "doc_type_map": _subs(mapped=lambda: X.doc_type_map(F.when(F.col("doc_id") % 3 == 0, F.upper("doc_type")).when(F.col("doc_id") % 3 == 1, F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, F.col("doc_type")), F.col("doc_id") % 5 == 0)),
     "codes_norm": lambda s, d: T.submissions(s, d).select(
         "doc_id",

@@ -13,6 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType
 
 from leafmark.functions import text as X
 from leafmark.plans import tables as T
@@ -21,13 +22,13 @@ from leafmark.plans import tables as T
 BROADCAST_ROWS = 100_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's similarity of two strings."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def words_close(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether every word of the side with fewer words is at least 0.8 similar to one of the other's."""
 
