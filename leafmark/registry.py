@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES: list[str] = [
     "leafmark.operators.rankings",
     "leafmark.functions.queries",
+    "leafmark.functions.signals",
     "leafmark.operators.review",
     "leafmark.operators.reports",
     "leafmark.operators.records",
