@@ -38,7 +38,7 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc, cuts): for each document that loses lines, the intervals of worded lines that go, in order."""
+    """(doc, __cuts): for each document that loses lines, the intervals of worded lines that go, in order."""
     found = windows(docs, size)
     first = found.groupBy("hash").agg(F.min(F.struct("doc", "nth")).alias("first"), F.max(F.struct("doc", "nth")).alias("last")).where("first <> last")
     later = found.join(first.select("hash", "first"), "hash").where(F.struct("doc", "nth") != F.col("first")).select("doc", "nth").distinct()
@@ -49,7 +49,7 @@ def covered(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         .groupBy("doc", "part")
         .agg(F.min("nth").alias("start"), (F.max("nth") + size).alias("end"))
     )
-    return merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    return merged.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -60,21 +60,21 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     lines = joined.withColumn("__lines", F.split("text", "\n")).withColumn("__n", F.size(F.filter("__lines", lambda x: x.rlike(HAS_WORD))))
     # Positions among all lines of the worded ones, so that cuts (which count worded lines) find their lines.
     at = F.filter(F.transform("__lines", lambda x, i: F.when(x.rlike(HAS_WORD), i)), lambda i: i.isNotNull())
-    placed = lines.withColumn("__at", F.when(F.col("cuts").isNotNull(), at))
+    placed = lines.withColumn("__at", F.when(F.col("__cuts").isNotNull(), at))
     # Every worded line of an interval goes, the others stay: worded lines between two cuts, and wordless ones in between.
-    gone = F.flatten(F.transform("cuts", lambda c: F.slice("__at", c["start"] + 1, c["end"] - c["start"])))
+    gone = F.flatten(F.transform("__cuts", lambda c: F.slice("__at", c["start"] + 1, c["end"] - c["start"])))
     kept = placed.withColumn("__gone", gone).withColumn(
         "__bounds",
         # One entry per removed line, and both ends of the text, give the runs of lines that stay.
         F.arrays_zip(F.concat(F.array(F.lit(-1)), "__gone").alias("a"), F.concat("__gone", F.array(F.size("__lines"))).alias("b")),
     )
     runs = F.transform(F.filter("__bounds", lambda r: r["b"] - r["a"] > 1), lambda r: F.slice("__lines", r["a"] + 2, r["b"] - r["a"] - 1))
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
+    text = F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(runs), "\n"))
     return (
         kept.withColumn("text", text)
         .withColumn("n_lines", F.when(F.col("__lines").isNull(), 0).otherwise(F.col("__n")).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-        .drop("__key", "__doc", "cuts", "__lines", "__n", "__at", "__gone", "__bounds")
+        .drop("__key", "__doc", "__cuts", "__lines", "__n", "__at", "__gone", "__bounds")
     )
 
 

@@ -132,7 +132,8 @@ def _members(stream, size: int = CHUNK) -> Iterator[tuple[bool, bytes]]:
             yield opens, piece
             opens = False
         if unpacker.eof:
-            raw, unpacker, opens = unpacker.unused_data + raw, zlib.decompressobj(31), True
+            # What follows the member; the tail of the last call is part of it.
+            raw, unpacker, opens = unpacker.unused_data, zlib.decompressobj(31), True
 
 
 def _fields(head: bytes) -> dict[str, str]:
