@@ -15,6 +15,7 @@ MODULES: list[str] = [
     "leafmark.operators.pages",
     "leafmark.operators.lines",
     "leafmark.operators.matching",
+    "leafmark.operators.similar_pages",
     "leafmark.streaming.jobs",
 ]
 
