@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of anything but ASCII white space.
@@ -35,6 +35,45 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written intermediate tables that are dropped together once nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = shared_dir(df.sparkSession)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
+#: Bits of a sieve, and how many of them are in one row of it.
+SIEVE_BITS, SIEVE_ROW = 1 << 23, 1 << 15
+
+
+def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
+    """df with may: false for rows whose key is surely not among the wanted keys (one column).
+
+    A bitmap of SIEVE_BITS bits, whatever the tables' sizes, is made from hashes of the wanted keys and broadcast. Rows that do not
+    pass need no shuffle to meet the wanted ones. A sieve that has filled up lets everything pass.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p")).select(F.floor(F.col("p") / SIEVE_ROW).alias("__row"), (F.col("p") % SIEVE_ROW).alias("p"))
+    rows = bits.groupBy("__row").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    at = place(key)
+    joined = df.withColumn("__at", at).withColumn("__own", F.floor(F.col("__at") / SIEVE_ROW)).join(F.broadcast(rows), F.col("__own") == F.col("__row"), "left")
+    byte = F.conv(F.hex(F.substring("__bits", (F.floor((F.col("__at") % SIEVE_ROW) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.floor(byte / F.pow(F.lit(2.0), F.col("__at") % 8)) % 2 == 1
+    return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__at", "__own", "__row", "__bits")
+
+
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches of texts small: rows of up to hundreds of KB are usual here."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
@@ -108,7 +147,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(src, dst) links of longs -> (node, component), component being the smallest node reachable.
 
     Alternates two star operations: every node's larger neighbours are linked to its smallest
@@ -133,12 +172,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def mark(links: DataFrame):
         return links.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 40))).first()
 
-    links = materialize(
+    write = scratch.keep if scratch else materialize
+    links = write(
         edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
     )
     before = mark(links)
     while before[0]:
-        links = materialize(stars(stars(links, True), False))
+        links = write(stars(stars(links, True), False))
         after = mark(links)
         if after == before:
             break

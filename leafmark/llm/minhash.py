@@ -32,7 +32,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import bounded_batches, connected_components, materialize, mix64, ngram_hashes, word_hashes
+from leafmark.llm.common import (
+    Scratch,
+    bounded_batches,
+    connected_components,
+    materialize,
+    mix64,
+    ngram_hashes,
+    sifted,
+    word_hashes,
+)
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,8 +49,9 @@ BANDS, ROWS = 16, 4
 DRAWS = BANDS * ROWS
 #: Buckets of the frequency table, and how many of them travel in one row.
 TABLE, SLICE = 1 << 19, 1 << 13
-#: Added to a shingle's share of the documents: what fewer than about 0.5 % contain is equally rare.
-DAMPING = 0.005
+#: Added to a shingle's share of the documents. Weights then lie between 0.585 and 1: where one text has near copies in a third of all rows,
+#: what they share must not count for less than the few words in which they differ.
+DAMPING = 1.0
 #: Weights are rounded to powers of exp(STEP).
 STEP = 0.125
 #: Random variables of a draw are read from this many cells by a hash of the shingle.
@@ -201,7 +211,9 @@ def feature_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             found = [features(text) for text in pdf["text"]]
             yield pd.DataFrame({"node": pdf["node"], "features": [x.tobytes() for x in found], "n": [len(x) for x in found]})
 
-    texts = docs.where(has_words()).select(node().alias("node"), "text").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    rows = docs.where(has_words()).select(node().alias("node"), "text")
+    # Only texts that pass the sieve are shuffled to meet the wanted nodes.
+    texts = sifted(rows, F.col("node"), wanted.select("node")).where("may").drop("may").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     return texts.mapInPandas(take, "node long, features binary, n long")
 
 
@@ -257,7 +269,7 @@ def _block_links(a: list[np.ndarray], b: list[np.ndarray], asked: np.ndarray, id
     return out
 
 
-def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float, scratch: Scratch) -> DataFrame:
     """(src, dst) joining components that share a bucket, from all pairs of their members there.
 
     members: (node, band, bucket, component). Buckets are cut into blocks of bounded members and features, so neither a
@@ -277,7 +289,7 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
         .groupBy("band", "bucket", "block")
         .agg(F.collect_list(F.struct("node", "component", "draws", "features")).alias("rows"))
     )
-    blocks = materialize(blocks)
+    blocks = scratch.keep(blocks)
     both = blocks.select("band", "bucket", F.col("block").alias("x"), F.col("rows").alias("left")).join(
         blocks.select("band", "bucket", F.col("block").alias("y"), F.col("rows").alias("right")), ["band", "bucket"]
     ).where("x <= y")
@@ -325,30 +337,33 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, class_id): the class of every distinct text with words; see the module's text."""
+    """(node, class_id, first_id): class and smallest doc_id of every distinct text with words; see the module's text."""
     spark = docs.sparkSession
     bounded_batches(spark)
+    scratch = Scratch()
     idf = idf_table(docs)
-    drawn = materialize(sketches(docs, idf))
+    drawn = scratch.keep(sketches(docs, idf))
     buckets = drawn.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(buckets.join(shared, ["band", "bucket"]))
+    members = scratch.keep(buckets.join(shared, ["band", "bucket"]))
     # A text close to many others is in their large buckets: it is the centre they are compared with.
     known = members.groupBy("node").agg(F.sum("size").alias("fame"))
     centres = members.join(known, "node").groupBy("band", "bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("a"))
-    table = materialize(feature_table(docs, known))
+    table = scratch.keep(feature_table(docs, known))
     stars = members.join(centres, ["band", "bucket"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = materialize(verified(stars, table, idf, threshold))
-    found = connected_components(links)
+    links = scratch.keep(verified(stars, table, idf, threshold))
+    found = connected_components(links, scratch)
     labelled = members.select("node", "band", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = materialize(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold))
+    more = scratch.keep(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold, scratch))
     bounded_batches(spark)
     if not more.isEmpty():
-        found = connected_components(links.unionByName(more))
+        found = connected_components(links.unionByName(more), scratch)
     ids = docs.where(has_words()).groupBy(node().alias("node")).agg(F.min("doc_id").alias("first_id"))
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    return named.join(classes, "component").select("node", "class_id")
+    out = materialize(named.join(classes, "component").select("node", "class_id", "first_id"))
+    scratch.drop(spark)
+    return out
 
 
 def label(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -363,11 +378,19 @@ def label(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each class."""
-    classes = near_duplicates(docs, threshold).withColumnRenamed("node", "__node").withColumnRenamed("class_id", "__class")
-    rows = docs.withColumn("__key", F.when(has_words(), node()))
-    joined = rows.join(classes, F.col("__key") == F.col("__node"), "left")
-    return joined.where(F.col("__key").isNull() | F.col("__class").eqNullSafe(F.col("doc_id"))).select(*docs.columns)
+    """docs without all but one document of each class.
+
+    Only texts of classes with several documents are shuffled, to meet their classes; all others pass a sieve.
+    """
+    classes = near_duplicates(docs, threshold)
+    # A text stays as it is unless it is in a class of other texts or has copies.
+    several = docs.where(has_words()).groupBy(node().alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
+    moved = materialize(classes.where("not class_id <=> first_id").select("node").unionByName(several).distinct())
+    rows = sifted(docs.withColumn("__key", F.when(has_words(), node())), F.col("__key"), moved).withColumnRenamed("may", "__may")
+    named = classes.join(moved, "node", "left_semi").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    asked = rows.where("__may").join(named.hint("shuffle_hash"), F.col("__key") == F.col("__node"), "left")
+    stay = asked.where(F.col("__node").isNull() | F.col("__class").eqNullSafe(F.col("doc_id")))
+    return rows.where("not __may").select(*docs.columns).unionByName(stay.select(*docs.columns))
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
