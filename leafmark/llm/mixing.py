@@ -15,7 +15,7 @@ rounds then add or take one copy of the document whose size fits the rest best.
 than CAP copies. Rates are fixed-point numbers from here on, so reruns agree.
 
 Running sums are taken in two levels, over cells of a source and a narrow band of sizes, each split by a hash as
-finely as the corpus is large; a source with a third of all rows is spread over all tasks.
+finely as its rows are many; a source with a third of all rows is spread over all tasks.
 
 Cases: a null or empty text has size 0 and is never taken; a source without words has target 0. Null is a
 source, the last one. Null doc_ids are allowed; rows equal in doc_id, source and size take the same number of copies
@@ -34,7 +34,7 @@ CAP = 3
 #: Fixed point of rates: copies in units of 2**-20.
 UNIT = 1 << 20
 #: Documents in one stretch of the running sum.
-STRETCH = 50_000
+STRETCH = 20_000
 REPAIRS = 6
 TOLERANCE = 1e-10
 
@@ -112,7 +112,6 @@ def balance(cells: DataFrame, sources: DataFrame, max_iterations: int = 60) -> D
 
 def copies(rows: DataFrame, sources: DataFrame, repairs: int = REPAIRS) -> DataFrame:
     """rows (doc_id, source, size) with source_size, target and copies."""
-    spark = rows.sparkSession
     cells = materialize(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     state = balance(cells, sources)
     mean = F.try_divide("source_size", "source_docs")
@@ -121,11 +120,14 @@ def copies(rows: DataFrame, sources: DataFrame, repairs: int = REPAIRS) -> DataF
     dimension = state.withColumnRenamed("source", "__s")
     rated = rows.join(dimension, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     # Bands of sizes one twentieth wide, largest first; each split so that a stretch stays small.
-    splits = max(1, cells.agg(F.sum("n")).first()[0] or 0) // STRETCH + 1
+    band = F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.05))))
+    bands = cells.groupBy(F.col("source").alias("__s"), band.alias("__b")).agg(F.floor(F.sum("n") / STRETCH + 1).alias("__splits"))
     rated = (
         rated.withColumn("rate", F.round(rate * UNIT).cast("long"))
-        .withColumn("band", F.when(F.col("size") == 0, -1).otherwise(F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(1.05)))))
-        .withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(splits)))
+        .withColumn("band", band)
+        .join(bands, F.col("source").eqNullSafe(F.col("__s")) & (F.col("band") == F.col("__b")))
+        .withColumn("part", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.col("__splits")))
+        .drop("__s", "__b", "__splits")
     )
     stretches = rated.groupBy("source", "band", "part").agg(F.sum("rate").alias("__sum"))
     offset = F.sum("__sum").over(Window.partitionBy("source").orderBy(F.desc("band"), "part").rowsBetween(Window.unboundedPreceding, -1))
@@ -182,7 +184,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__size"), "__copies")
     sized = with_size(docs.withColumnRenamed("size", "__own")) if "size" in docs.columns else with_size(docs)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__size"))
-    repeated = sized.join(taken, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("size")
+    # The plan is the side that is hashed: texts are moved once and not sorted, whatever the size.
+    repeated = sized.join(taken.hint("shuffle_hash"), same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("size")
     if "size" in docs.columns:
         repeated = repeated.withColumnRenamed("__own", "size")
     return repeated.select(*docs.columns)
