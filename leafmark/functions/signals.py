@@ -60,22 +60,35 @@ def startpage_signals(c: Column) -> dict[str, Column]:
     }
 
 
-def _tops(s, d):
-    """Page tops of several kinds, before a piece of each document."""
+def _top():
+    """Page tops of several kinds."""
     i = F.col("doc_id")
     n = F.concat(F.lit("English Page "), (i % 9).cast("string"), F.lit("\nMonday, May 4, 2020\n10:15 am\nfather\n"))
-    top = (
+    return (
         F.when(i % 6 == 0, n).when(i % 6 == 1, "IFI Fatherhood Essay Contest\nStudent’s Name\nGrade: 7\nSchool:\nPhone\n").when(i % 6 == 2, "Essay by a studnt\nmy father, padre\n")
         .when(i % 6 == 3, "Alva Brook\n5th grade\nHill School\n").when(i % 6 == 4, "kami export: school grade\n").otherwise("")
     )
+
+
+def _whole(s, d):
+    """Whole documents below the tops of _tops()."""
+    return T.read(s, d, "documents").select("doc_id", F.concat(_top(), "text").alias("text"))
+
+
+def _tops(s, d):
+    """Page tops of several kinds, before a piece of each document."""
+    i = F.col("doc_id")
     body = F.when(i % 2 == 0, F.substring("text", 1, 20)).otherwise(F.substring("text", 1, 120))
-    return T.read(s, d, "documents").select("doc_id", F.concat(top, body).alias("text"))
+    return T.read(s, d, "documents").select("doc_id", F.concat(_top(), body).alias("text"))
 
 
 QUERIES = {
     "nav_overlay": lambda s, d: _tops(s, d).select("doc_id", nav_overlay(F.col("text")).alias("overlay")),
     "form_detect": lambda s, d: _tops(s, d).select("doc_id", typed_form(F.col("text")).alias("typed"), scanned_form(F.col("text")).alias("scanned")),
     "startpage_signals": lambda s, d: _tops(s, d).select("doc_id", *[v.alias(k) for k, v in startpage_signals(F.col("text")).items()]),
+    "nav_overlay_whole": lambda s, d: _whole(s, d).select("doc_id", nav_overlay(F.col("text")).alias("overlay")),
+    "form_detect_whole": lambda s, d: _whole(s, d).select("doc_id", typed_form(F.col("text")).alias("typed"), scanned_form(F.col("text")).alias("scanned")),
+    "startpage_signals_pages": lambda s, d: T.pages(s, d).select("doc_id", "page_index", *[v.alias(k) for k, v in startpage_signals(F.col("text")).items()]),
 }
 
 _TOPS = r"""
@@ -100,3 +113,7 @@ ORACLE = {
       select doc_id, {_hits('low', BOILERPLATE)} > 0 as boilerplate, len(w) between 2 and 5 and {_hits('j', NO_NAME)} = 0 as name, regexp_matches(low, '{'|'.join(GRADE_SIGNS)}') as grade,
         (contains(low, 'school') or contains(low, 'escuela')) and len(w) >= 2 as school from b""", _TOPS),
 }
+# The same statements over whole texts; pages stand for documents in the last.
+_CUT = "case when doc_id % 2 = 0 then substr(text, 1, 20) else substr(text, 1, 120) end"
+ORACLE |= {f"{k}_whole": ORACLE[k].replace(_CUT, "text") for k in ("nav_overlay", "form_detect")}
+ORACLE["startpage_signals_pages"] = ORACLE["startpage_signals"].replace(_TOPS, T.PAGES).replace("from tops", "from doc_pages").replace("select doc_id,", "select doc_id, page_index,")
