@@ -217,6 +217,10 @@ def _readers_of_batches(s, d):
     return T.readers(s, d).where("reader_id <= 12").select("reader_id", F.col("reader_id").alias("position"))
 
 
+def _all_readers(s, d):
+    return T.readers(s, d).select("reader_id", F.col("reader_id").alias("position"))
+
+
 def _slices(s, d):
     e = T.essays(s, d).select("submission_id", F.concat(F.lit("school "), (F.col("submission_id") % 7).cast("string")).alias("school_name"), F.element_at(F.array(*[F.lit(p) for p in PRIORITIES]), (F.col("submission_id") % 5 + 1).cast("int")).alias("grade"))
     return batch_rows(e, ("school_name", "grade"), ("submission_id",))
@@ -251,6 +255,7 @@ QUERIES = {
     "batch_rows": _slices,
     "batch_summary": lambda s, d: batch_summary(_groups(s, d), T.assignments(s, d), T.readers(s, d)),
     "pair_readers": lambda s, d: pair_readers(batch_bounds(_groups(s, d)).select("school_name", "grade", "batch_number"), _readers_of_batches(s, d), T.assignments(s, d)),
+    "pair_all_readers": lambda s, d: pair_readers(batch_bounds(_groups(s, d)).select("school_name", "grade", "batch_number"), _all_readers(s, d), T.assignments(s, d)),
     "assignment_essays": lambda s, d: assignment_essays(T.assignments(s, d), T.finalists(s, d), _slices(s, d)),
     "reader_choices": lambda s, d: reader_choices(T.rankings(s, d), T.finalists(s, d), T.readers(s, d)),
 }
@@ -315,3 +320,4 @@ ORACLE = {
     "assignment_essays": T.sql("select distinct assignment_id, submission_id from finalists union all select a.assignment_id, s.submission_id from assignments a join slices s using (school_name, grade, batch_number) where a.assignment_id not in (select assignment_id from finalists)", T.ASSIGNMENTS, T.FINALISTS, T.ESSAYS, SLICES),
     "reader_choices": T.sql("select *, name || ' (' || email || ')' as label from (select lower(email) as email, arg_max(name, (assignment_id, reader_id, submission_id)) as name from rankings join readers using (reader_id) where assignment_id not in (select assignment_id from finalists) group by 1)", T.RANKINGS, T.FINALISTS, T.READERS),
 }
+ORACLE["pair_all_readers"] = ORACLE["pair_readers"].replace(" and r.reader_id <= 12", "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from conftest import SF
+from pyspark.sql import functions as F
+
 from leafmark import registry
 
 QUERIES = registry.queries()
@@ -23,3 +26,11 @@ def test_signals_of_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = QUERIES["startpage_signals_pages"](spark, str(tmp_path)).orderBy("page_index").select("boilerplate", "name", "grade", "school").collect()
     assert [tuple(r) for r in got] == [(True, False, False, True), (False, False, True, False), (False, True, False, False)]
+
+
+def test_every_batch_gets_its_reader(spark):
+    d = SF.replace("0.001", "0.01")
+    groups = spark.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 12 >= 1").groupBy((F.col("o_custkey") % 7).alias("school"), "o_orderpriority").count()
+    batches = groups.agg(F.sum(F.ceil(F.col("count") / 30))).first()[0]
+    assert QUERIES["pair_readers"](spark, d).count() <= 12 * groups.count() < batches
+    assert QUERIES["pair_all_readers"](spark, d).count() > 12 * groups.count()
