@@ -34,3 +34,11 @@ def test_every_batch_gets_its_reader(spark):
     batches = groups.agg(F.sum(F.ceil(F.col("count") / 30))).first()[0]
     assert QUERIES["pair_readers"](spark, d).count() <= 12 * groups.count() < batches
     assert QUERIES["pair_all_readers"](spark, d).count() > 12 * groups.count()
+
+
+def test_created_readers_follow_the_rankings(spark, tmp_path):
+    spark.createDataFrame([(k, f"n{k}") for k in range(60)], "c_custkey long, c_name string").write.parquet(str(tmp_path / "customer.parquet"))
+    ranks = [(1, k, 1, 1) for k in range(300)] * 2
+    spark.createDataFrame(ranks, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = QUERIES["readers_merge_all"](spark, str(tmp_path)).groupBy("origin").count().collect()
+    assert {r["origin"]: r["count"] for r in got} == {"known": 60, "created": 240}
