@@ -145,6 +145,7 @@ QUERIES = {
     "queue_wait": lambda s, d: queue_wait(T.jobs(s, d)),
     "batch_complete": lambda s, d: _clock(batch_complete(T.jobs(s, d), 100), "completed_at"),
     "queue_window": lambda s, d: _clock(queue_window(T.jobs(s, d)), "window_start"),
+    "queue_window_hourly": lambda s, d: _clock(queue_window(T.jobs(s, d), slide="1 hour"), "window_start"),
     "metric_clean": lambda s, d: metric_clean(T.metrics(s, d)),
 }
 _C = "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"
@@ -162,5 +163,7 @@ ORACLE = {
     "batch_complete": T.sql(f"select batch_id, {_C.format('ts')} as completed_at from (select *, row_number() over (partition by batch_id order by ts, event_id) as n from jobs where status in ('finished', 'failed')) where n = 100", T.JOBS),
     "queue_window": T.sql(f"""w as (select *, time_bucket(interval 6 hours, ts, timestamp '1970-01-01') - to_hours(6 * k) as ws from jobs, (values (0), (1), (2), (3)) t(k))
       select {_C.format('ws')} as window_start, count(*)::bigint as n, {", ".join(f"count(*) filter (status = '{k}')::bigint as {k}" for k in ("queued", "started", "finished", "failed"))} from w group by ws""", T.JOBS),
+    "queue_window_hourly": T.sql(f"""w as (select *, date_trunc('hour', ts) - to_hours(k) as ws from jobs, range(24) h(k))
+      select {_C.format('ws')} as window_start, count(*)::bigint as n, {", ".join(f"count(*) filter (status = '{k}')::bigint as {k}" for k in ("queued", "started", "finished", "failed"))} from w group by ws""", T.JOBS),
     "metric_clean": T.sql("select nullif(trim(doc_class), '') as doc_class, lower(nullif(trim(status), '')) as status, processing_ms from metrics", T.METRICS),
 }

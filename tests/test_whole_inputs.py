@@ -42,3 +42,10 @@ def test_created_readers_follow_the_rankings(spark, tmp_path):
     spark.createDataFrame(ranks, "l_orderkey long, l_suppkey long, l_partkey long, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
     got = QUERIES["readers_merge_all"](spark, str(tmp_path)).groupBy("origin").count().collect()
     assert {r["origin"]: r["count"] for r in got} == {"known": 60, "created": 240}
+
+
+def test_window_at_every_hour(spark, tmp_path):
+    rows = spark.sql("select 1L as event_id, 1L as user_id, 'click' as event_type, timestamp '2024-01-02 05:30:00' as ts, 1.0 as value, '{}' as props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    starts = sorted(r["window_start"][:16] for r in QUERIES["queue_window_hourly"](spark, str(tmp_path)).collect())
+    assert len(starts) == 24 and (starts[0], starts[-1]) == ("2024-01-01 06:00", "2024-01-02 05:00")
