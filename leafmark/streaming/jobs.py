@@ -41,6 +41,11 @@ def stuck_jobs(latest: DataFrame, now: str, minutes: int = 2) -> DataFrame:
     return latest.where((F.col("status") == "queued") & (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros("created_at") > minutes * 60_000_000)).select("job_id", "created_at")
 
 
+def newest_status(latest: DataFrame, n: int = 10) -> DataFrame:
+    """Status counts of the newest jobs; of those created together, the smaller ids come first."""
+    return latest.orderBy(F.desc("created_at"), "job_id").limit(n).groupBy("status").agg(F.count("*").alias("n"))
+
+
 def next_job(events: DataFrame) -> DataFrame:
     """The next queued row of each batch: highest value first, then the oldest. A report; nothing is claimed."""
     order = Window.partitionBy("batch_id").orderBy(F.desc("value"), "ts", "event_id")
@@ -141,6 +146,7 @@ QUERIES = {
     "job_latest": lambda s, d: _clock(_latest(s, d), "started_at", "finished_at", "created_at"),
     "queue_status": lambda s, d: queue_status(_latest(s, d)),
     "stuck_jobs": lambda s, d: _clock(stuck_jobs(_latest(s, d), NOW), "created_at"),
+    "newest_status": lambda s, d: newest_status(_latest(s, d)),
     "next_job": lambda s, d: next_job(T.jobs(s, d)),
     "queue_wait": lambda s, d: queue_wait(T.jobs(s, d)),
     "batch_complete": lambda s, d: _clock(batch_complete(T.jobs(s, d), 100), "completed_at"),
@@ -158,6 +164,7 @@ ORACLE = {
       avg(case status when 'finished' then coalesce((epoch_us(finished_at) - epoch_us(started_at)) / 1e6, 15) when 'failed' then 15 end) as m from lt)
       select * exclude m, case when pending = 0 then 0 when completed + failed > 0 then m * pending else pending * 20.0 end::double as remaining_seconds from c""", T.JOBS, LATEST),
     "stuck_jobs": T.sql(f"select job_id, {_C.format('created_at')} as created_at from lt where status = 'queued' and timestamp '{NOW}' - created_at > interval 2 minutes", T.JOBS, LATEST),
+    "newest_status": T.sql("select status, count(*)::bigint as n from (select status from lt order by created_at desc, job_id limit 10) group by 1", T.JOBS, LATEST),
     "next_job": T.sql("select batch_id, event_id, job_id from (select *, row_number() over (partition by batch_id order by value desc, ts, event_id) as n from jobs where status = 'queued') where n = 1", T.JOBS),
     "queue_wait": T.sql("b as (select *, lag(status) over w as s, lag(ts) over w as t from jobs where status in ('queued', 'started') window w as (partition by job_id order by ts, event_id)) select event_id, job_id, ((epoch_us(ts) - epoch_us(t)) // 1000)::bigint as wait_ms from b where status = 'started' and s = 'queued'", T.JOBS),
     "batch_complete": T.sql(f"select batch_id, {_C.format('ts')} as completed_at from (select *, row_number() over (partition by batch_id order by ts, event_id) as n from jobs where status in ('finished', 'failed')) where n = 100", T.JOBS),
