@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafmark.functions import fixed as V
+from leafmark.functions import plausible as P
 from leafmark.functions import text as X
 from leafmark.plans import tables as T
 
@@ -17,19 +19,41 @@ RAW_NAMES = (
 )
 
 
-def grades(s, d):
-    n = len(RAW_GRADES) + 1
-    return T.read(s, d, "documents").select("doc_id", T.pick(RAW_GRADES, F.col("doc_id") % n).alias("raw"))
+GRADE_TEXT = r"((?:[A-Za-z]+ )?[0-9]{1,4}(?:st|nd|rd|th)?(?: [A-Za-z]+)?)"
+NAME_TEXT = r"([A-Z][A-Za-z]+(?: [A-Za-z0-9]+){0,5})"
 
 
-def names(s, d):
-    n = len(RAW_NAMES) + 1
-    return T.read(s, d, "documents").select("doc_id", T.pick(RAW_NAMES, F.col("doc_id") % n).alias("raw"))
+def _raw(values, pattern):
+    """Awkward values for every third document, what its text says for the others."""
 
+    def relation(s, d):
+        i, n = F.col("doc_id"), len(values) + 1
+        raw = F.when(i % 3 == 0, T.pick(values, F.floor(i / 3) % n)).otherwise(F.regexp_extract("text", pattern, 1))
+        return T.read(s, d, "documents").select("doc_id", raw.alias("raw"))
 
-def _values(name, values):
+    return relation
+
+
+grades, names = _raw(RAW_GRADES, GRADE_TEXT), _raw(RAW_NAMES, NAME_TEXT)
+
+
+def _files(s, d):
+    made = F.concat(F.lit("in/"), F.replace("raw", F.lit(" "), F.lit("_")), F.when(F.col("doc_id") % 2 == 0, "-essay.pdf").otherwise("-2026-Fatherhood-Contest (2).pdf"))
+    return names(s, d).select("doc_id", P.name_from_file(made).alias("name"))
+
+
+def _schools(s, d):
+    """School names of records, and known spellings in other shapes."""
+    i, known = F.col("doc_id"), tuple(V.SCHOOL_KEYS) + tuple(V.SCHOOL_TYPOS)
+    spelled = T.pick(known, F.floor(i / 2) % len(known))
+    raw = F.when(i % 2 == 0, F.when(i % 4 == 0, F.upper(spelled)).otherwise(F.concat(F.lit(" ."), F.initcap(spelled), F.lit("! ")))).otherwise(F.col("school_name"))
+    shown, key = P.canon_name(raw)
+    return T.submissions(s, d).select("doc_id", raw.alias("raw"), shown.alias("shown"), key.alias("key"))
+
+
+def _values(name, values, pattern):
     quoted = ", ".join("'" + v.replace("'", "''") + "'" for v in values)
-    return f"{name} as (select doc_id, ([{quoted}])[doc_id % {len(values) + 1} + 1] as raw from documents)"
+    return f"{name} as (select doc_id, case when doc_id % 3 = 0 then ([{quoted}])[doc_id // 3 % {len(values) + 1} + 1] else regexp_extract(text, '{pattern}', 1) end as raw from documents)"
 
 
 def _pair(f, c="raw", names=("grade", "method")):
@@ -115,7 +139,8 @@ QUERIES = {
     "codes_label": _subs(label=lambda: X.codes_label(X.codes_norm(F.col("review_reason_codes"), enum_only=True))),
     "pii_hash": _subs(student=lambda: X.pii_hash(F.col("student_name"), "pepper"), school=lambda: X.pii_hash(F.col("school_name"), "pepper")),
     "conf_bucket": _subs(bucket=lambda: X.conf_bucket(F.when(F.col("doc_id") % 9 != 0, F.col("ocr_confidence_avg")))),
-    "name_from_file": lambda s, d: names(s, d).select("doc_id", X.name_from_file(F.concat(F.lit("in/"), F.replace("raw", F.lit(" "), F.lit("_")), F.lit("-essay.pdf"))).alias("name")),
+    "name_from_file": _files,
+    "canon_name": _schools,
     "email_parse": _emails,
     "best_text": _best,
     "snippet": _docs(snippet=lambda c: X.snippet(c)),
@@ -130,7 +155,7 @@ _PIPE = r"""coalesce({}, {}, {})""".format(
         for p in (r"(?i)grade[:\x09-\x0D\x20]*([0-9]{1,2})", r"(?i)([0-9]{1,2})(?:st|nd|rd|th)?[\x09-\x0D\x20]*grade", r"^([0-9]{1,2})$")
     ]
 )
-_GRADES, _NAMES = _values("g", RAW_GRADES), _values("n", RAW_NAMES)
+_GRADES, _NAMES = _values("g", RAW_GRADES, GRADE_TEXT), _values("n", RAW_NAMES, NAME_TEXT)
 _CAP = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
 
 
@@ -155,12 +180,7 @@ ORACLE = {
       select doc_id, raw, case when not kinder then v end as grade, case when raw is null then 'missing' when text = '' then 'empty' when kinder then 'kinder' when v is not null then 'parsed' else 'unparsed' end as reason from v""", _GRADES),
     "grade_gate": T.sql(rf"""t as (select doc_id, raw, upper({TRIM}) as s from g)
       select doc_id, raw, case when lower(s) in ({_in(X.KINDER_PIPELINE)}) then 'K' when regexp_full_match(s, '[+-]?\d{{1,9}}') and s::bigint between 1 and 12 then (s::bigint)::varchar end as grade from t""", _GRADES),
-    "grade_parse": T.sql(rf"""t as (select doc_id, raw, {TRIM} as s from g), w as (select *, len(list_filter(regexp_split_to_array(s, '{W}+'), lambda x: x <> '')) as n from t)
-      select doc_id, raw, case when regexp_matches(s, '\b(?:19|20)\d{{2}}\b') or len(list_filter(regexp_extract_all(s, '\b(\d{{2}})\b', 1), lambda x: x::int > 12)) > 0 then null
-        when upper(s) in ('K', 'KINDER', 'KINDERGARTEN', 'PRE-K', 'PRE-KINDERGARTEN') or (n <= 2 and contains(upper(s), 'K'))
-          or (n <= 4 and regexp_matches(s, '(?i)\b(?:pre[ \-]?k|kinder(?:garten|garden)?|kinder(?:garte)?n|[prk]inder(?:garten|garden)?|kindergard(?:en|an)|kindergar(?:den|dan)|kindergart(?:en|esi))\b')) then 'K'
-        when n = 1 then coalesce(nullif(regexp_extract(s, '^([1-9]|1[0-2])$', 1), ''), nullif(regexp_extract(s, '(?i)^([1-9]|1[0-2])(?:st|nd|rd|th)$', 1), ''))
-        when n <= 4 then coalesce(nullif(regexp_extract(s, '(?i)(?:grade|grado)[ ]*[:\-/]?[ ]*([1-9]|1[0-2])(?:st|nd|rd|th)?\b', 1), ''), nullif(regexp_extract(s, '(?i)\b([1-9]|1[0-2])(?:st|nd|rd|th)?[ ]*(?:grade|grado)\b', 1), '')) end as grade from w""", _GRADES),
+    "grade_parse": T.sql(f"select doc_id, raw, {P.sql_grade('raw')} as grade from g", _GRADES),
     "grade_extract": T.sql(rf"""t as (select doc_id, raw, upper({TRIM}) as s from g), v as (select *, regexp_extract(s, '(\d+)', 1) as x from t)
       select doc_id, raw, case when s in ('K', 'KINDER', 'KINDERGARTEN') then 'K' when length(x) between 1 and 3 and x::bigint between 1 and 12 then (x::bigint)::varchar end as grade from v""", _GRADES),
     "grade_admin": T.sql(rf"""t as (select doc_id, raw, {TRIM} as s from g), v as (select *, try_cast(nullif(regexp_extract(s, '(\d+)', 1), '') as bigint) as v from t)
@@ -192,9 +212,13 @@ ORACLE = {
       select doc_id, array_to_string(list_transform(c, lambda x: substr(x, 1, 1) || lower(replace(substr(x, 2), '_', ' '))), ' • ') as label from t""", T.SUBMISSIONS),
     "pii_hash": T.sql("select doc_id, case when trim(student_name) <> '' then sha256('pepper:' || trim(student_name)) end as student, case when trim(school_name) <> '' then sha256('pepper:' || trim(school_name)) end as school from submissions", T.SUBMISSIONS),
     "conf_bucket": T.sql("select doc_id, case when doc_id % 9 = 0 then 'unknown' when ocr_confidence_avg < 0.5 then 'low' when ocr_confidence_avg < 0.75 then 'medium' else 'high' end as bucket from submissions", T.SUBMISSIONS),
-    "name_from_file": T.sql(rf"""t as (select doc_id, regexp_replace(regexp_extract('in/' || replace(raw, ' ', '_') || '-essay.pdf', '([^/]*)$', 1), '\.[A-Za-z0-9]{{1,5}}$', '') as stem from n),
-      p as (select doc_id, list_filter(regexp_split_to_array(regexp_replace(stem, '[_\-.]+', ' ', 'g'), '{W}+'), lambda w: w <> '' and lower(w) not in ('essay', 'final', 'copy', 'scan', 'page', 'draft', 'the', 'of') and not regexp_matches(w, '\d')) as w from t)
-      select doc_id, case when len(w) between 2 and 3 then array_to_string(list_transform(w, lambda x: {_CAP.format('x')}), ' ') end as name from p""", _NAMES),
+    "name_from_file": T.sql("t as (select doc_id, 'in/' || replace(raw, ' ', '_') || case when doc_id % 2 = 0 then '-essay.pdf' else '-2026-Fatherhood-Contest (2).pdf' end as f from n) select doc_id, {} as name from t".format(P.sql_name_from_file("f")), _NAMES),
+    "canon_name": T.sql(rf"""k as (select doc_id, school_name, ([{", ".join(P.quote(v) for v in (*V.SCHOOL_KEYS, *V.SCHOOL_TYPOS))}])[doc_id // 2 % {len(V.SCHOOL_KEYS) + len(V.SCHOOL_TYPOS)} + 1] as sp from submissions),
+      r as (select doc_id, case when doc_id % 4 = 0 then upper(sp) when doc_id % 2 = 0 then ' .' || array_to_string(list_transform(string_split(sp, ' '), lambda w: {_CAP.format('w')}), ' ') || '! ' else school_name end as raw from k),
+      t as (select doc_id, raw, array_to_string(list_filter(regexp_split_to_array(regexp_replace({TRIM}, '^{_OUTER}|{_OUTER}$', '', 'g'), '{W}+'), lambda x: x <> ''), ' ') as s from r),
+      u as (select doc_id, raw, case when length(s) >= 3 then array_to_string(list_filter(string_split(regexp_replace(lower(s), '[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]', '', 'g'), ' '), lambda x: x <> ''), ' ') end as p from t),
+      v as (select doc_id, raw, coalesce({P.sql_map(V.SCHOOL_TYPOS, 'p')}, p) as p from u), w as (select *, {P.sql_map(V.SCHOOL_KEYS, 'p')} as key from v)
+      select doc_id, raw, coalesce({P.sql_map(V.SCHOOL_NAMES, 'key')}, array_to_string(list_transform(string_split(p, ' '), lambda w: case when upper(w) in ({_in(X.ACRONYMS)}) then upper(w) else {_CAP.format('w')} end), ' ')) as shown, key from w""", T.SUBMISSIONS),
     "email_parse": "select doc_id, 'a' || doc_id || '@x.org;c@y.de' as valid, 'bad' || doc_id as invalid from documents",
     "best_text": rf"""t as (select doc_id, text, len(regexp_extract_all(substr(text, 1, 40), '[^\x09-\x0D\x20]+')) as na, len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) as nb from documents),
       u as (select *, case when doc_id % 3 = 0 then na else 0 end as a, case when doc_id % 2 = 0 then nb else 0 end as b from t)

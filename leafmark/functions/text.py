@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmark.functions import fixed as V
 from leafmark.plans import tables as T
 
 # Fixed values.
@@ -24,9 +27,14 @@ ENUM = (
 SPACE = r"[\x09-\x0D\x20]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trimmed(c: Column) -> Column:
     """Without white space at either end (ASCII, as everywhere here where results are compared across engines)."""
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit("\t\n\x0b\x0c\r "))
 
 
 def norm_key(c: Column) -> Column:
@@ -42,7 +50,7 @@ def norm_match(c: Column) -> Column:
 
 def norm_accent(c: Column) -> Column:
     """Lower case without accents, with straight quotes."""
-    return F.translate(F.lower(c), ACCENTS_FROM, ACCENTS_TO)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(c), ACCENTS_FROM, ACCENTS_TO)).otherwise(F.lower(c))
 
 
 def words(c: Column) -> Column:
@@ -104,23 +112,18 @@ def grade_gate(c: Column) -> Column:
 
 def grade_parse(c: Column) -> Column:
     """A grade near its label: no years, no two-digit numbers above 12, at most four tokens."""
-    text = trimmed(c)
-    n = F.size(words(text))
-    upper = F.upper(text)
-    variants = ("K", "KINDER", "KINDERGARTEN", "PRE-K", "PRE-KINDERGARTEN")
-    too_large = F.exists(F.regexp_extract_all(text, F.lit(r"\b(\d{2})\b"), 1), lambda x: x.cast("int") > 12)
-    kinder = upper.isin(*variants) | ((n <= 2) & upper.rlike("K")) | (
-        (n <= 4) & text.rlike(r"(?i)\b(?:pre[ \-]?k|kinder(?:garten|garden)?|kinder(?:garte)?n|[prk]inder(?:garten|garden)?|kindergard(?:en|an)|kindergar(?:den|dan)|kindergart(?:en|esi))\b")
-    )
-    single = F.coalesce(number(F.regexp_extract(text, r"^([1-9]|1[0-2])$", 1)), number(F.regexp_extract(text, r"(?i)^([1-9]|1[0-2])(?:st|nd|rd|th)$", 1)))
-    after = number(F.regexp_extract(text, r"(?i)(?:grade|grado)[ ]*[:\-/]?[ ]*([1-9]|1[0-2])(?:st|nd|rd|th)?\b", 1))
-    before = number(F.regexp_extract(text, r"(?i)\b([1-9]|1[0-2])(?:st|nd|rd|th)?[ ]*(?:grade|grado)\b", 1))
-    return (
-        F.when(text.rlike(r"\b(?:19|20)\d{2}\b") | too_large, None)
-        .when(kinder, "K")
-        .when(n == 1, single.cast("string"))
-        .when(n <= 4, F.coalesce(after, before).cast("string"))
-    )
+    token = r"[^\x09-\x0D\x20]+"
+
+    def judge(text: Column) -> Column:
+        kinder = text.rlike(rf"(?i)^(?:{SPACE}*{token}){{0,1}}{SPACE}*[^\x09-\x0D\x20]*k") & text.rlike(rf"^{token}(?:{SPACE}+{token})?$") | text.rlike(V.KINDER_PATTERN)
+        single = F.regexp_extract(text, r"(?i)^([1-9]|1[0-2])(?:st|nd|rd|th)?$", 1)
+        after = F.regexp_extract(text, r"(?i)(?:grade|grado)[ ]*[:\-/]?[ ]*([1-9]|1[0-2])(?:st|nd|rd|th)?\b", 1)
+        before = F.regexp_extract(text, r"(?i)\b([1-9]|1[0-2])(?:st|nd|rd|th)?[ ]*(?:grade|grado)\b", 1)
+        several = text.rlike(SPACE)
+        usable = text.rlike(rf"^{token}(?:{SPACE}+{token}){{0,3}}$") & ~text.rlike(r"\b(?:19|20)\d{2}\b|\b(?:1[3-9]|[2-9]\d)\b")
+        return F.when(usable, F.when(kinder, "K").otherwise(F.nullif(F.when(~several, single).otherwise(F.coalesce(F.nullif(after, F.lit("")), before)), F.lit(""))))
+
+    return let(trimmed(c), judge)
 
 
 def grade_extract(c: Column) -> Column:
@@ -258,13 +261,6 @@ def conf_bucket(c: Column) -> Column:
     return F.when(c.isNull(), "unknown").when(c < 0.5, "low").when(c < 0.75, "medium").otherwise("high")
 
 
-def name_from_file(c: Column) -> Column:
-    """A name of two or three words in a file's stem."""
-    stem = F.regexp_replace(F.regexp_extract(c, r"([^/]*)$", 1), r"\.[A-Za-z0-9]{1,5}$", "")
-    parts = F.filter(words(F.regexp_replace(stem, r"[_\-.]+", " ")), lambda w: ~F.lower(w).isin("essay", "final", "copy", "scan", "page", "draft", "the", "of") & ~w.rlike(r"\d"))
-    return F.when(F.size(parts).between(2, 3), F.array_join(F.transform(parts, capitalized), " "))
-
-
 def best_text(*sources: tuple[str, Column], least: int = 30) -> tuple[Column, Column]:
     """(text, label): the first source with enough words, else the first with any, else an empty one."""
     full = [(label, c, F.size(words(F.coalesce(c, F.lit(""))))) for label, c in sources]

@@ -14,6 +14,7 @@ MODULES: list[str] = [
     "leafmark.operators.records",
     "leafmark.operators.pages",
     "leafmark.operators.lines",
+    "leafmark.operators.forms",
     "leafmark.operators.matching",
     "leafmark.operators.similar_pages",
     "leafmark.streaming.jobs",
