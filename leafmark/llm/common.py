@@ -16,12 +16,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the session's checkpoint folder, which driver and executors share.
 
-    The folder is the one in spark.checkpoint.dir; only where none is set (tests on one machine) a
-    temporary one is taken.
+    The folder is the one in spark.checkpoint.dir. Where none is set, a temporary one is taken on a local master; on a
+    cluster it would be one machine's own, so that is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
@@ -74,13 +77,6 @@ def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__at", "__own", "__row", "__bits")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of texts small: rows of up to hundreds of KB are usual here."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-
-
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(29)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import bounded_batches, connected_components, materialize
+from leafmark.llm.common import connected_components, materialize
 
 THRESHOLD = 0.95
 TILE = 2048
@@ -177,7 +177,6 @@ def _compared(reps: DataFrame, dim: int, dtype: str, threshold: float) -> DataFr
                 found = np.flatnonzero(links)
                 yield pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[root[found]]})
 
-    bounded_batches(spark, 4)
     return materialize(both.mapInPandas(compare, "node long, links long, root long"))
 
 
@@ -187,7 +186,6 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> Data
     reps = materialize(
         rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     )
-    bounded_batches(embeddings.sparkSession, 2000)
     dtype = "float64" if "double" in embeddings.schema["embedding"].dataType.simpleString() else "float32"
     found = None
     for (dim,) in reps.select(F.size("embedding")).distinct().collect():

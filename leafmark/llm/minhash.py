@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.common import (
     Scratch,
-    bounded_batches,
     connected_components,
     materialize,
     mix64,
@@ -332,14 +331,12 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
                 moved = np.flatnonzero(label != np.arange(len(names)))
                 yield pd.DataFrame({"src": names[moved], "dst": names[label[moved]]})
 
-    bounded_batches(members.sparkSession, 8)
     return both.select("band", "x", "y", "left", "right").mapInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, class_id, first_id): class and smallest doc_id of every distinct text with words; see the module's text."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     scratch = Scratch()
     idf = idf_table(docs)
     drawn = scratch.keep(sketches(docs, idf))
@@ -355,7 +352,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = connected_components(links, scratch)
     labelled = members.select("node", "band", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     more = scratch.keep(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold, scratch))
-    bounded_batches(spark)
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), scratch)
     ids = docs.where(has_words()).groupBy(node().alias("node")).agg(F.min("doc_id").alias("first_id"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import bounded_batches, materialize, mix64, ngram_hashes, word_hashes
+from leafmark.llm.common import materialize, mix64, ngram_hashes, word_hashes
 
 
 def buckets_of(text: str | None, n_buckets: int) -> np.ndarray:
@@ -61,7 +61,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 14, max_lab
     makes the broadcast of the ids safe. The raw model counts every document. Only the counts of the
     n_buckets buckets reach the driver.
     """
-    bounded_batches(docs.sparkSession)
     seen = labels.where("doc_id is not null and quality is not null")
     n, good = seen.agg(F.count("*"), F.sum((F.col("quality") == 1).cast("long"))).first()
     share = (good / n) if n else 0.0
@@ -84,7 +83,6 @@ def fit(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 14, max_lab
 
 def score(docs: DataFrame, model: ImportanceModel, *, seed: int = 11) -> DataFrame:
     """docs with log_weight and gumbel_key; the texts go to Python, nothing but a number comes back."""
-    bounded_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(model.log_ratio)
 
     @F.pandas_udf("double")
