@@ -1,7 +1,7 @@
 """Near-duplicate embeddings by PCA-ordered tiled comparison.
 
-Equal vectors become one representative with a count, and representatives are rotated onto their principal axes. Ordered
-by the first axis they are cut into tiles of bounded size, and tiles whose ranges on that axis are too far apart for
+Equal vectors (by a 64-bit hash) become one representative with a count, and representatives are rotated onto their principal axes. Ordered
+by three axes about the mean they are cut into compact tiles of bounded size, and tiles whose boxes are too far apart for
 the threshold are never compared. Two tiles are compared by their leading coordinates first: what the rest can add
 is at most the product of the suffix norms, and a pair stops as soon as even that cannot reach the threshold. What is left
 is decided by the whole dot product of unit vectors in double precision.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,9 @@ from leafmark.llm.common import connected_components, materialize
 
 THRESHOLD = 0.95
 TILE = 2048
+#: Bytes of rotated vectors that a task holds, and cells on each of two axes by which vectors are sorted.
+GROUP_BYTES = 192 << 20
+CELLS = 8
 FIT = 4096
 #: Slack for rounding when pairs are ruled out; decisions are made without it.
 SLACK = 1e-5
@@ -100,24 +104,39 @@ def _forest(n: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             return label
 
 
-def _tiles(reps: DataFrame, basis: np.ndarray, dtype: str) -> DataFrame:
-    """Tiles in order of the first axis: tile, low, high and the packed nodes, copies and vectors."""
-    first = basis[:, 0]
+def _order(sample: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Three principal axes about the mean, and the sample's quantiles on the first two: they sort vectors so that tiles are compact."""
+    if len(sample) < 2:
+        return np.eye(sample.shape[1])[:, :3], [np.empty(0), np.empty(0)]
+    found = axes(sample - sample.mean(axis=0))[:, :3]
+    cuts = [np.quantile(sample @ found[:, k], np.arange(1, CELLS) / CELLS) for k in range(min(2, found.shape[1]))]
+    return found, cuts
+
+
+def _tiles(reps: DataFrame, sample: np.ndarray, dtype: str, groups: int) -> DataFrame:
+    """Tiles of vectors that lie near each other: group and the packed nodes, copies and vectors."""
+    directions, cuts = _order(sample)
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(along=unit(np.stack(pdf["embedding"])) @ first)
+                along = unit(np.stack(pdf["embedding"])) @ directions
+                cell = np.zeros(len(pdf), np.int64)
+                for k, cut in enumerate(cuts):
+                    cell = cell * CELLS + np.searchsorted(cut, along[:, k])
+                yield pdf.assign(cell=cell, along=along[:, -1])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
+        start, made = TaskContext.get().partitionId(), 0
 
         def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+            nonlocal made
+            made += 1
             return pd.DataFrame(
                 {
-                    "low": [pdf["along"].min()], "high": [pdf["along"].max()],
-                    "nodes": [pdf["node"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()],
-                    "vectors": [np.stack(pdf["embedding"]).astype(dtype).tobytes()],
+                    "group": [(start + made) % groups], "nodes": [pdf["node"].to_numpy(np.int64).tobytes()],
+                    "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["embedding"]).astype(dtype).tobytes()],
                 }
             )
 
@@ -131,53 +150,79 @@ def _tiles(reps: DataFrame, basis: np.ndarray, dtype: str) -> DataFrame:
         if len(rows):
             yield tile(rows)
 
-    n = max(1, math.ceil(reps.count() / TILE))
+    n = max(1, math.ceil(reps.count() / (4 * TILE)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reps.schema)
-    ordered = reps.mapInPandas(project, schema + ", along double").repartitionByRange(n, "along").sortWithinPartitions("along")
-    return ordered.mapInPandas(cut, "low double, high double, nodes binary, copies binary, vectors binary")
+    ordered = reps.mapInPandas(project, schema + ", cell long, along double").repartitionByRange(n, "cell", "along").sortWithinPartitions("cell", "along")
+    return ordered.mapInPandas(cut, "group int, nodes binary, copies binary, vectors binary")
+
+
+class Tile:
+    """Rotated unit vectors of a tile with their names, copies and bounding box."""
+
+    def __init__(self, row, dim: int, dtype: str, basis: np.ndarray):
+        self.nodes, self.copies = np.frombuffer(row.nodes, np.int64), np.frombuffer(row.copies, np.int64)
+        self.vectors = unit(np.frombuffer(row.vectors, dtype).reshape(-1, dim)) @ basis
+        self.low, self.high = self.vectors.min(axis=0), self.vectors.max(axis=0)
+
+    def apart(self, other: Tile, reach: float) -> bool:
+        gap = np.maximum(0, np.maximum(self.low - other.high, other.low - self.high))
+        return float(gap @ gap) > reach * reach
+
+    def compared(self, other: Tile, threshold: float) -> pd.DataFrame:
+        same = self is other
+        shift = 0 if same else len(self.nodes)
+        links, pairs = np.zeros(shift + len(other.nodes), np.int64), []
+        for i, j in _links(self.vectors, other.vectors, same, threshold):
+            np.add.at(links, i, other.copies[j])
+            np.add.at(links, j + shift, self.copies[i])
+            if len(i):
+                pairs.append((i, j + shift))
+        root = _forest(len(links), pairs)
+        nodes = self.nodes if same else np.concatenate([self.nodes, other.nodes])
+        found = np.flatnonzero(links)
+        return pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[root[found]]})
 
 
 def _compared(reps: DataFrame, dim: int, dtype: str, threshold: float) -> DataFrame:
-    """(node, links, root) from all tile pairs of representatives of one length."""
+    """(node, links, root) from all tile pairs of representatives of one length.
+
+    Tiles are dealt into groups, and a task has a pair of groups: it holds the tiles of one and streams those of the other past them. A
+    tile travels once for every group, so what is shuffled grows with the rows and the root of the number of tasks. Tiles whose
+    boxes are too far apart are not compared.
+    """
     spark = reps.sparkSession
+    n = reps.count()
     sample = reps.select("node", "embedding").orderBy(F.xxhash64("node"), "node").limit(min(FIT, (64 << 20) // (8 * dim))).toPandas()
-    basis = axes(unit(np.stack(sample["embedding"]))) if len(sample) else np.eye(dim)
-    named = materialize(_tiles(reps, basis, dtype).withColumn("tile", F.monotonically_increasing_id()))
-    # Two numbers for every TILE vectors come here, to choose the tile pairs.
-    bounds = named.select("tile", "low", "high").orderBy("low", "tile").toPandas()
+    sample = unit(np.stack(sample["embedding"])) if len(sample) else np.eye(dim)
+    basis = axes(sample)
+    # As many pairs of groups as give every core two, and more groups where one would not fit into a task's memory.
+    groups = max(math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism)), math.ceil(n * dim * 8 / GROUP_BYTES))
+    groups = max(1, min(groups, math.ceil(n / TILE)))
+    tiles = materialize(_tiles(reps, sample, dtype, groups))
+    low, high = F.least("group", "__other"), F.greatest("group", "__other")
+    pair = low * groups - F.floor(low * (low - 1) / 2) + high - low
+    tasks = min(groups * (groups + 1) // 2, 20_000)
+    dealt = tiles.withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(pair.cast("long").alias("pair"), (F.col("group") != low).alias("second"), "nodes", "copies", "vectors")
+    dealt = dealt.repartitionById(tasks, F.pmod("pair", F.lit(tasks)).cast("int")).sortWithinPartitions("pair", "second")
     reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-    last = np.searchsorted(bounds["low"].to_numpy(), bounds["high"].to_numpy() + reach, side="right") - 1
-    order = spark.createDataFrame(
-        pd.DataFrame({"x": range(len(bounds)), "last": last.astype(np.int64), "tile": bounds["tile"]}), "x long, last long, tile long"
-    )
-    pairs = order.select("x", F.explode(F.sequence("x", F.greatest("x", "last"))).alias("y"))
-    # Each pair belongs to one of its tiles, by the parity of the sum, which gives all tiles alike many.
-    even = F.pmod(F.col("x") + F.col("y"), F.lit(2)) == 0
-    pairs = pairs.select(F.when(even, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(even, F.col("y")).otherwise(F.col("x")).alias("b"))
-    tiles = named.drop("low", "high").join(order.select("x", "tile"), "tile").drop("tile")
-    side = lambda c: tiles.select(F.col("x").alias(c), *[F.col(k).alias(f"{k}_{c}") for k in ("nodes", "copies", "vectors")])
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held, alone = None, [], True
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                ids = [np.frombuffer(x, np.int64) for x in (row.nodes_a, row.nodes_b)]
-                copies = [np.frombuffer(x, np.int64) for x in (row.copies_a, row.copies_b)]
-                a, b = (unit(np.frombuffer(x, dtype).reshape(-1, dim)) @ basis for x in (row.vectors_a, row.vectors_b))
-                same = row.a == row.b
-                shift = 0 if same else len(a)
-                links, pairs = np.zeros(shift + len(b), np.int64), []
-                for i, j in _links(a, b, same, threshold):
-                    np.add.at(links, i, copies[1][j])
-                    np.add.at(links, j + shift, copies[0][i])
-                    if len(i):
-                        pairs.append((i, j + shift))
-                root = _forest(len(links), pairs)
-                nodes = ids[0] if same else np.concatenate(ids)
-                found = np.flatnonzero(links)
-                yield pd.DataFrame({"node": nodes[found], "links": links[found], "root": nodes[root[found]]})
-
-    return materialize(both.mapInPandas(compare, "node long, links long, root long"))
+                if row.pair != current:
+                    current, held, alone = row.pair, [], row.pair in diagonal
+                tile = Tile(row, dim, dtype, basis)
+                if not row.second:
+                    held.append(tile)
+                if row.second or alone:
+                    for other in held:
+                        if other is tile or not other.apart(tile, reach):
+                            yield other.compared(tile, threshold)
+
+    # Pairs of a group with itself, whose tiles meet each other.
+    diagonal = {g * groups - g * (g - 1) // 2 for g in range(groups)}
+    return materialize(dealt.mapInPandas(compare, "node long, links long, root long"))
 
 
 def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
