@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import materialize, shared_dir
+from leafmark.llm.common import materialize, shared_dir, sifted
 
 CHUNK = 1 << 20
 MIN_REVISIT = 100
@@ -43,9 +43,21 @@ def with_roles(pages: DataFrame) -> DataFrame:
     first = digests.groupBy("payload_digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
     later = digests.join(first, "payload_digest").where("page_id is null or page_id > refers_to").distinct()
     later = later.select(F.col("page_id").alias("__id"), F.col("payload_digest").alias("__digest"), "refers_to")
+    # Only pages that pass a sieve of the later copies' ids are shuffled; payloads of all others stay where they are.
+    rows = sifted(described, F.col("page_id"), later.select("__id"))
     same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest"))
     # By page_id, as one digest may hold a third of all payloads; the ids are the side that is hashed.
-    return described.join(later.hint("shuffle_hash"), same, "left").drop("__id", "__digest")
+    met = rows.where("may").drop("may").join(later.hint("shuffle_hash"), same, "left").drop("__id", "__digest")
+    return rows.where("not may").drop("may").withColumn("refers_to", F.lit(None).cast("long")).unionByName(met)
+
+
+def chunk_rows(described: DataFrame, size: int = CHUNK) -> DataFrame:
+    """A row for every chunk of a record's payload, in order and next to each other; revisits and empty payloads have one without data."""
+    step = max(1, size // 4)
+    chunks = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length("payload") / step))).cast("int")
+    piece = lambda k: F.when(F.col("refers_to").isNull(), F.substr("payload", k * step + 1, F.lit(step)))
+    meta = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
+    return described.select(*meta, chunks.alias("chunks"), F.posexplode(F.transform(F.sequence(F.lit(0), chunks - 1), piece)).alias("chunk_no", "data"))
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -53,13 +65,6 @@ def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def _chunks(text: str, size: int = CHUNK) -> Iterator[bytes]:
-    """A text's UTF-8 bytes in pieces; pieces end where characters do."""
-    step = max(1, size // 4)
-    for i in range(0, len(text), step):
-        yield text[i : i + step].encode("utf-8", "replace")
-
-
 def _head(page: dict, record_type: str, http_bytes: int) -> bytes:
     lines = [
         "WARC/1.1",
@@ -79,43 +84,44 @@ def _head(page: dict, record_type: str, http_bytes: int) -> bytes:
 
 
 def write_archives(described: DataFrame, folder: str) -> DataFrame:
-    """Write records below folder; the written table of archives: archive, records, bytes."""
+    """Write records below folder; the written table of archives: archive, records, bytes.
+
+    Payloads reach Python as chunk rows, so no record is ever whole there; a record's chunks are one gzip member.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        out, made = None, []
+        out, packer, made = None, None, []
 
-        def close():
-            nonlocal out
-            if out is not None:
-                out.close()
-                out = None
+        def put(data: bytes) -> None:
+            made[-1][2] += out.write(data)
 
         for pdf in batches:
             for row in pdf.itertuples(index=False):
-                page = {k: None if v is None or v is pd.NA or v != v else v for k, v in row._asdict().items()}
-                for k in ("page_id", "refers_to"):
-                    page[k] = None if page[k] is None else int(page[k])
-                if out is None:
-                    made.append([f"part-{uuid.uuid4().hex}.warc.gz", 0, 0])
-                    out = fs.open_output_stream(f"{root}/{made[-1][0]}", compression=None)
-                revisit = page["refers_to"] is not None
-                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['payload_bytes']}\r\n\r\n".encode()
-                packer, size = zlib.compressobj(1, zlib.DEFLATED, 31), 0
-                size += out.write(packer.compress(_head(page, "revisit" if revisit else "response", len(http)) + http))
-                for part in () if revisit else _chunks(page["payload"]):
-                    size += out.write(packer.compress(part))
-                size += out.write(packer.compress(b"\r\n\r\n") + packer.flush())
-                made[-1][1] += 1
-                made[-1][2] += size
-                if made[-1][2] >= ARCHIVE_BYTES:
-                    close()
-        close()
+                if row.chunk_no == 0:
+                    page = {k: None if v is None or v is pd.NA or v != v else v for k, v in row._asdict().items() if k != "data"}
+                    for k in ("page_id", "refers_to"):
+                        page[k] = None if page[k] is None else int(page[k])
+                    if out is not None and made[-1][2] >= ARCHIVE_BYTES:
+                        out.close()
+                        out = None
+                    if out is None:
+                        made.append([f"part-{uuid.uuid4().hex}.warc.gz", 0, 0])
+                        out = fs.open_output_stream(f"{root}/{made[-1][0]}", compression=None)
+                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['payload_bytes']}\r\n\r\n".encode()
+                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                    put(packer.compress(_head(page, "response" if page["refers_to"] is None else "revisit", len(http)) + http))
+                if row.data:
+                    put(packer.compress(row.data.encode("utf-8", "replace")))
+                if row.chunk_no == row.chunks - 1:
+                    put(packer.compress(b"\r\n\r\n") + packer.flush())
+                    made[-1][1] += 1
+        if out is not None:
+            out.close()
         yield pd.DataFrame(made, columns=["archive", "records", "bytes"])
 
-    ordered = described.select("page_id", "url", "payload", "payload_bytes", "payload_digest", "refers_to")
-    return materialize(ordered.mapInPandas(write, "archive string, records long, bytes long"))
+    return materialize(chunk_rows(described).mapInPandas(write, "archive string, records long, bytes long"))
 
 
 def _members(stream, size: int = CHUNK) -> Iterator[tuple[bool, bytes]]:
@@ -216,12 +222,18 @@ def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
     return frame.astype({"page_id": "Int64", "refers_to": "Int64", "intact": "boolean"})
 
 
+def sound(chunks: DataFrame) -> DataFrame:
+    """The last chunk row of each record; a digest that is not the record's own is an error."""
+    digest = F.when(F.col("intact"), F.col("digest_so_far")).otherwise(F.raise_error(F.concat(F.lit("damaged record "), "record_id")))
+    return chunks.where("last").withColumn("digest_so_far", digest)
+
+
 def op8_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     archives = write_archives(with_roles(spark.read.parquet(f"{sf_dir}/pages.parquet")), folder)
-    return read_archives(archives, folder, with_data=False).where("last").select(
-        "page_id", F.col("payload_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"
-    )
+    # The chunked table with its bytes is written; the digests come from it.
+    chunks = materialize(read_archives(archives, folder))
+    return sound(chunks).select("page_id", F.col("payload_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to")
 
 
 OP8_SQL = """
