@@ -9,7 +9,8 @@ The map has SLOTS rows whatever the corpus is, so it is made on the driver and b
 shard is the place of its slot there plus its place in the slot, so no task orders a whole shard.
 
 Cases: a null text counts as empty; null doc_ids are hashed with their text like any other; rows equal in doc_id and
-text share a slot, in any order; an empty table gives no rows, and its map deals slots in turn. Further columns pass through
+text share a slot, in any order; equal texts of different doc_ids have slots of their own, so that a group of copies with a third of all rows
+spreads over all slots and shards; an empty table gives no rows, and its map deals slots in turn. Further columns pass through
 assign(); those named like a result are replaced.
 """
 
@@ -102,8 +103,9 @@ def map_table(spark: SparkSession, version: int, shard_of: list[int], sizes: lis
 
 
 def save_map(table: DataFrame, path: str) -> None:
-    """Add a version; earlier ones stay readable."""
-    table.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Add a version; earlier ones stay readable, and a version that is written again replaces itself."""
+    (version,) = table.select("version").distinct().first()
+    table.drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
