@@ -4,7 +4,7 @@ Every run of three consecutive lines that hold a word is hashed. A window that o
 the corpus keeps its first occurrence, by (doc_id, position), and loses the lines of all later ones; the
 lines covered by overlapping windows are merged into intervals and cut out of the text at once.
 
-Lines are compared exactly. Lines without a word neither join nor break a window and always stay. Only
+Windows are compared by 128 bits of hashes of their whole lines. Lines without a word neither join nor break a window and always stay. Only
 hashes and positions are shuffled to find repeats; each text is moved once, to meet its intervals.
 
 Cases: null doc_ids come first in the order; a null text stays null, an empty one empty, and a text of
@@ -27,12 +27,12 @@ def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
 
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc, nth, hash): each window of consecutive worded lines; nth counts worded lines."""
+    """(doc, nth, hash): each window of consecutive worded lines; nth counts worded lines. The hash is two of 64 bits each."""
     worded = F.filter(F.split("text", "\n"), lambda line: line.rlike(HAS_WORD))
     runs = docs.select(_key(), worded.alias("lines")).where(F.size("lines") >= size)
     hashes = F.transform(
         F.arrays_zip(*[F.slice("lines", i + 1, F.size("lines") - (size - 1)).alias(f"l{i}") for i in range(size)]),
-        lambda w: F.xxhash64(*[w[f"l{i}"] for i in range(size)]),
+        lambda w: F.struct(F.xxhash64(*[w[f"l{i}"] for i in range(size)]).alias("a"), F.xxhash64(F.lit(41), *[w[f"l{i}"] for i in range(size)]).alias("b")),
     )
     return runs.select("doc", F.posexplode(hashes).alias("nth", "hash"))
 
