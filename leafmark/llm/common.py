@@ -68,13 +68,13 @@ def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     pass need no shuffle to meet the wanted ones. A sieve that has filled up lets everything pass.
     """
     place = lambda c: F.pmod(F.xxhash64(F.lit(23), c), F.lit(SIEVE_BITS))
-    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p")).select(F.floor(F.col("p") / SIEVE_ROW).alias("__row"), (F.col("p") % SIEVE_ROW).alias("p"))
-    rows = bits.groupBy("__row").agg(F.bitmap_construct_agg("p").alias("__bits"))
+    bits = wanted.select(place(F.col(wanted.columns[0])).alias("p")).select(F.floor(F.col("p") / SIEVE_ROW).alias("__sieve_row"), (F.col("p") % SIEVE_ROW).alias("p"))
+    rows = bits.groupBy("__sieve_row").agg(F.bitmap_construct_agg("p").alias("__sieve_bits"))
     at = place(key)
-    joined = df.withColumn("__at", at).withColumn("__own", F.floor(F.col("__at") / SIEVE_ROW)).join(F.broadcast(rows), F.col("__own") == F.col("__row"), "left")
-    byte = F.conv(F.hex(F.substring("__bits", (F.floor((F.col("__at") % SIEVE_ROW) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    bit = F.floor(byte / F.pow(F.lit(2.0), F.col("__at") % 8)) % 2 == 1
-    return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__at", "__own", "__row", "__bits")
+    joined = df.withColumn("__sieve_at", at).withColumn("__sieve_own", F.floor(F.col("__sieve_at") / SIEVE_ROW)).join(F.broadcast(rows), F.col("__sieve_own") == F.col("__sieve_row"), "left")
+    byte = F.conv(F.hex(F.substring("__sieve_bits", (F.floor((F.col("__sieve_at") % SIEVE_ROW) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    bit = F.floor(byte / F.pow(F.lit(2.0), F.col("__sieve_at") % 8)) % 2 == 1
+    return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__sieve_at", "__sieve_own", "__sieve_row", "__sieve_bits")
 
 
 _SPACE = np.zeros(256, bool)

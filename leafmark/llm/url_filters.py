@@ -20,7 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+from leafmark.llm.common import sifted
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)"
 
 
 def host_of(url: str = "url") -> Column:
@@ -47,9 +49,10 @@ def block(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = kept.select("host", F.col("fetched_at").alias("__at")).where("host is not null and __at is not null").distinct()
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keys = asked.withColumn("domain", F.explode(suffixes))
-    # Few suffixes are listed: a semi-join would not save more than the join itself.
-    met = keys.join(intervals(entries), "domain").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
+    listed = intervals(entries)
+    # Suffixes of one label, the hot ones, and all others that are on no list at all stop at a sieve of fixed size before the join.
+    keys = sifted(asked.withColumn("domain", F.explode(suffixes)), F.col("domain"), listed.select("domain")).where("may").drop("may")
+    met = keys.join(listed, "domain").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
     best = met.groupBy(F.col("host").alias("__host"), "__at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "valid_from")).alias("__best"))
     answered = kept.join(best, (F.col("host") == F.col("__host")) & (F.col("fetched_at") == F.col("__at")), "left")
     return answered.withColumns(
@@ -84,7 +87,7 @@ def op10_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP10_SQL = r"""
-with c as (select page_id, url, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1), '\.$', '')), '') as host,
+with c as (select page_id, url, nullif(lower(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[]+)', 1), '\.$', '')), '') as host,
                   timestamp '2024-01-01' + to_minutes(page_id * 7919 % 527040) as fetched_at from pages),
 n as (select distinct domain from (select host as domain from c union all select regexp_extract(host, '([^.]+\.[^.]+\.[^.]+)$', 1) from c) where domain <> ''),
 e as (select domain, k % 2 = 0 as listed, timestamp '2024-01-01' + to_days((('0x' || substr(md5(domain || ':' || k), 7, 6))::bigint % 360)::int) as dated

@@ -233,6 +233,16 @@ def test_kth_largest(spark, k):
     assert got == sorted(values, reverse=True)[min(k, 1000) - 1]
 
 
+# Settings.
+
+
+@pytest.mark.parametrize("name", ["op4_embedding_dedup", "op5_packing", "op8_warc", "op9_minhash"])
+def test_session_settings_stay(spark, name):
+    before = dict(spark.conf.getAll)
+    queries.QUERIES[name](spark, SF).count()
+    assert dict(spark.conf.getAll) == before
+
+
 # 4. Embeddings.
 
 
@@ -336,6 +346,28 @@ def test_sharding_law(spark, sf_docs):
     assert all(r.size == len(texts[r.doc_id].encode()) + 16 and r.text_crc32 == zlib.crc32(texts[r.doc_id].encode()) for r in out.rename(columns={"size": "size"}).itertuples(index=False))
 
 
+def test_equal_texts_spread_over_shards(spark):
+    rows = spark.createDataFrame([(i, "same text" if i % 3 else f"t {i}") for i in range(3000)], "doc_id long, text string")
+    records = sharding.with_slot(rows)
+    sizes = sharding.slot_sizes(records)
+    out = sharding.assign(records, sharding.map_table(spark, 1, sharding.deal(sizes, 7), sizes)).where("text = 'same text'").toPandas()
+    assert out["shard"].value_counts().max() < 2 * 2000 / 7 and out["virtual_slot"].nunique() > 1000
+
+
+def test_written_shards_hold_all_records(spark, sf_docs, tmp_path):
+    sharding.write_shards(sf_docs, str(tmp_path / "shards"), shards=5, slots=64)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted(r["doc_id"] for r in back.select("doc_id").collect()) == sorted(r["doc_id"] for r in sf_docs.select("doc_id").collect())
+    assert back.groupBy("virtual_slot").agg(F.count_distinct("shard").alias("n")).where("n > 1").count() == 0
+
+
+def test_saving_a_version_twice_keeps_one(spark, tmp_path):
+    sizes = [(1, 1)] * 8
+    for _ in range(2):
+        sharding.save_map(sharding.map_table(spark, 1, sharding.deal(sizes, 2), sizes), str(tmp_path / "map"))
+    assert sharding.load_map(spark, str(tmp_path / "map")).count() == 8
+
+
 def test_map_versions_and_rebalancing(spark, tmp_path):
     sizes = [(random.Random(i).randint(1, 100), 1) for i in range(400)]
     first = sharding.deal(sizes, 10)
