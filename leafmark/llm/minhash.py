@@ -9,8 +9,8 @@
    a pair shares no bucket with probability 2e-4.
 4. Verification by weighted Jaccard similarity of the whole texts' shingles. First every member of a
    bucket is compared with one centre, the text that is in the largest buckets. Then, in buckets that still
-   hold more than one component, members of different components are compared in blocks, by their draws
-   and, where those do not rule it out (under half of them agree), by their shingles. Blocks yield spanning forests, so no pairs
+   hold more than one component, members of the largest one are compared with the others and these
+   with each other, in blocks, by all of their shingles unless their sizes alone rule it out. Blocks yield spanning forests, so no pairs
    are ever listed and no link between components is lost.
 5. Links become components; a class is named after its smallest doc_id.
 
@@ -56,8 +56,6 @@ STEP = 0.125
 #: Random variables of a draw are read from this many cells by a hash of the shingle.
 CELLS = 1 << 12
 BLOCK = 512
-#: Pairs of which a smaller share of draws agree are not looked at further: 1e-9 of those at 0.8.
-RULE_OUT = 0.5
 #: Shingles compared at a time in a block.
 STRIP = 8192
 
@@ -271,27 +269,30 @@ def _block_links(a: list[np.ndarray], b: list[np.ndarray], asked: np.ndarray, id
 def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float, scratch: Scratch) -> DataFrame:
     """(src, dst) joining components that share a bucket, from all pairs of their members there.
 
-    members: (node, band, bucket, component). Buckets are cut into blocks of bounded members and features, so neither a
-    task nor a row holds a whole bucket. A pair is looked at in its first common bucket only, and its draws are looked at before its
-    features. Blocks give spanning forests of their links, never pairs.
+    members: (node, band, bucket, component). In a bucket the members of the largest component are compared with the others', and these with each
+    other; members of one component are not. Both kinds are cut into blocks of bounded members and features, so neither a
+    task nor a row holds a whole bucket; the list of block pairs carries no features, and blocks are joined to it by their own numbers, so a
+    large bucket is no hot key. A pair is looked at in its first common bucket only, and sizes that rule it out are looked at before its
+    shingles. Blocks give spanning forests of their links, never pairs.
     """
     weights = members.sparkSession.sparkContext.broadcast(idf)
-    sized = members.join(table.select("node", "n"), "node")
-    sizes = sized.groupBy("band", "bucket").agg(
-        F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 1000))).cast("int").alias("blocks"), F.min("component").alias("low"), F.max("component").alias("high")
-    ).where("low <> high").drop("low", "high")
-    blocks = (
-        members.join(sizes, ["band", "bucket"])
-        .withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int"))
-        .join(drawn, "node")
-        .join(table.select("node", "features"), "node")
-        .groupBy("band", "bucket", "block")
-        .agg(F.collect_list(F.struct("node", "component", "draws", "features")).alias("rows"))
+    key = ["band", "bucket"]
+    counted = members.groupBy(*key, "component").agg(F.count("*").alias("__c"))
+    main = counted.groupBy(*key).agg(F.max_by("component", F.struct("__c", "component")).alias("main"), F.count("*").alias("__k")).where("__k > 1").drop("__k")
+    open_members = scratch.keep(
+        members.select("node", *key, "component").join(main, key).withColumn("minor", F.col("component") != F.col("main")).drop("main").join(table.select("node", "n"), "node")
     )
-    blocks = scratch.keep(blocks)
-    both = blocks.select("band", "bucket", F.col("block").alias("x"), F.col("rows").alias("left")).join(
-        blocks.select("band", "bucket", F.col("block").alias("y"), F.col("rows").alias("right")), ["band", "bucket"]
-    ).where("x <= y")
+    sizes = open_members.groupBy(*key, "minor").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 1000))).cast("int").alias("blocks"))
+    placed = open_members.drop("n").join(sizes, [*key, "minor"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).cast("int")).drop("blocks")
+    blocks = scratch.keep(
+        placed.join(drawn, "node").join(table.select("node", "features"), "node").groupBy(*key, "minor", "block").agg(F.collect_list(F.struct("node", "component", "draws", "features")).alias("rows"))
+    )
+    names = blocks.select(*key, "minor", "block")
+    left = names.where("minor").select(*key, F.col("block").alias("x"))
+    right = names.select(*key, F.col("minor").alias("small"), F.col("block").alias("y"))
+    pairs = left.join(right, key).where("not small or x <= y")
+    payload = lambda at, rows, flag: blocks.select(*key, F.col("minor").alias(flag), F.col("block").alias(at), F.col("rows").alias(rows))
+    both = pairs.join(payload("y", "right", "small"), [*key, "small", "y"]).join(payload("x", "left", "minor").where("minor").drop("minor"), [*key, "x"])
 
     def unpack(rows):
         draws = np.stack([np.frombuffer(r["draws"], np.uint32) for r in rows])
@@ -299,21 +300,21 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for band, x, y, left, right in zip(pdf["band"], pdf["x"], pdf["y"], pdf["left"], pdf["right"], strict=True):
+            for band, same, left, right in zip(pdf["band"], pdf["small"] & (pdf["x"] == pdf["y"]), pdf["left"], pdf["right"], strict=True):
                 a, ca, da, fa = unpack(left)
-                b, cb, db, fb = (a, ca, da, fa) if x == y else unpack(right)
+                b, cb, db, fb = (a, ca, da, fa) if same else unpack(right)
                 asked = ca[:, None] != cb[None, :]
-                if x == y:
+                if same:
                     asked = np.triu(asked, 1)
-                agree = np.zeros(asked.shape, np.int16)
-                for k in range(BANDS):
-                    own = np.zeros(asked.shape, np.int16)
+                for k in range(band):
+                    shared = np.ones(asked.shape, bool)
                     for d in range(k * ROWS, (k + 1) * ROWS):
-                        own += da[:, d, None] == db[None, :, d]
-                    agree += own
-                    if k < band:
-                        asked &= own < ROWS
-                asked &= agree >= RULE_OUT * DRAWS
+                        shared &= da[:, d, None] == db[None, :, d]
+                    asked &= ~shared
+                # The weight of the lighter text bounds what two share: exact, whatever their draws say.
+                ta, tb = (np.array([weight(f, weights.value).sum() for f in fs]) for fs in (fa, fb))
+                lighter, heavier = np.minimum(ta[:, None], tb[None, :]), np.maximum(ta[:, None], tb[None, :])
+                asked &= lighter >= (threshold - 1e-6) * heavier
                 i, j = np.nonzero(_block_links(fa, fb, asked, weights.value, threshold)) if asked.any() else ((), ())
                 if not len(i):
                     continue
@@ -331,7 +332,7 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
                 moved = np.flatnonzero(label != np.arange(len(names)))
                 yield pd.DataFrame({"src": names[moved], "dst": names[label[moved]]})
 
-    return both.select("band", "x", "y", "left", "right").mapInPandas(compare, "src long, dst long")
+    return both.select("band", "small", "x", "y", "left", "right").mapInPandas(compare, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

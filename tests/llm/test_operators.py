@@ -6,6 +6,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -549,3 +550,66 @@ def test_pipeline_decisions(spark):
     assert collections.Counter(r["doc_id"] for r in kept[4].select("doc_id").collect()) == {k: v for k, v in plan.items() if v}
     packed = corpus_pipeline.STAGES[4][1](spark, kept[4], SF).toPandas()
     assert packed.groupby("sequence_id")["length"].sum().max() <= 2048 and set(packed["doc_id"]) == ids[4]
+
+
+def own_similarities(texts: list[str]):
+    """Weighted Jaccard similarity of word shingles, from the definition alone."""
+    bags = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
+        n = min(5, len(words))
+        bags.append(collections.Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if words else collections.Counter())
+    df = collections.Counter(g for b in bags for g in b)
+    count = sum(1 for b in bags if b)
+    weigh = lambda b: {g: c * math.log2(1 + 1 / (df[g] / count + minhash.DAMPING)) for g, c in b.items()}
+    weighted = [weigh(b) for b in bags]
+    totals = [sum(w.values()) for w in weighted]
+
+    def similarity(i: int, j: int) -> float:
+        shared = sum(min(v, weighted[j][g]) for g, v in weighted[i].items() if g in weighted[j])
+        return shared / (totals[i] + totals[j] - shared) if shared else 0.0
+
+    return similarity
+
+
+def test_minhash_against_the_definition(spark, sf_docs):
+    rows = [(r["doc_id"], r["text"]) for r in sf_docs.select("doc_id", "text").orderBy("doc_id").collect() if r["text"] and r["text"].split()]
+    similarity = own_similarities([t for _, t in rows])
+    found = {r["doc_id"]: r["class_id"] for r in minhash.label(sf_docs).select("doc_id", "class_id").collect()}
+    loose = {i: i for i, _ in rows}
+
+    def root(parent, k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    close = 0
+    for x in range(len(rows)):
+        for y in range(x + 1, len(rows)):
+            value = similarity(x, y)
+            a, b = rows[x][0], rows[y][0]
+            if value >= 0.801:
+                close += 1
+                assert found[a] == found[b]
+            if value >= 0.799:
+                loose[root(loose, b)] = root(loose, a)
+    for i, _ in rows:
+        assert root(loose, i) == root(loose, found[i])
+    assert close > 5
+
+
+def test_minhash_recall_on_long_texts(spark):
+    """Pairs of texts of 20,000 words a little above the threshold: draws of long texts share random variables."""
+    rng = random.Random(12)
+    texts, pairs = [], 12
+    for _ in range(pairs):
+        words = [f"w{rng.randrange(400_000)}" for _ in range(20_000)]
+        other = list(words)
+        for at in rng.sample(range(20_000), 380):
+            other[at] = f"x{rng.randrange(400_000)}"
+        texts += [" ".join(words), " ".join(other)]
+    similarity = own_similarities(texts)
+    values = [similarity(2 * k, 2 * k + 1) for k in range(pairs)]
+    assert all(0.8 < v < 0.87 for v in values)
+    found = {r["doc_id"]: r["class_id"] for r in minhash.label(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(found[2 * k] == found[2 * k + 1] for k in range(pairs)) >= 0.9 * pairs
