@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,6 +79,19 @@ def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__sieve_at", "__sieve_own", "__sieve_row", "__sieve_bits")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for the jobs started inside; the session's own setting comes back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.getAll.get(name)
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _rng = np.random.default_rng(29)

@@ -39,6 +39,7 @@ from leafmark.llm.common import (
     mix64,
     ngram_hashes,
     sifted,
+    small_batches,
     word_hashes,
 )
 
@@ -339,20 +340,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, class_id, first_id): class and smallest doc_id of every distinct text with words; see the module's text."""
     spark = docs.sparkSession
     scratch = Scratch()
-    idf = idf_table(docs)
-    drawn = scratch.keep(sketches(docs, idf))
+    with small_batches(spark, 500):
+        idf = idf_table(docs)
+        drawn = scratch.keep(sketches(docs, idf))
     buckets = drawn.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("band", "bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = scratch.keep(buckets.join(shared, ["band", "bucket"]))
     # A text close to many others is in their large buckets: it is the centre they are compared with.
     known = members.groupBy("node").agg(F.sum("size").alias("fame"))
     centres = members.join(known, "node").groupBy("band", "bucket").agg(F.max_by("node", F.struct("fame", "node")).alias("a"))
-    table = scratch.keep(feature_table(docs, known))
     stars = members.join(centres, ["band", "bucket"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = scratch.keep(verified(stars, table, idf, threshold))
+    with small_batches(spark, 500):
+        table = scratch.keep(feature_table(docs, known))
+        links = scratch.keep(verified(stars, table, idf, threshold))
     found = connected_components(links, scratch)
     labelled = members.select("node", "band", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = scratch.keep(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold, scratch))
+    # A row of these holds two blocks.
+    with small_batches(spark, 8):
+        more = scratch.keep(open_links(labelled, drawn.select("node", "draws"), table, idf, threshold, scratch))
     if not more.isEmpty():
         found = connected_components(links.unionByName(more), scratch)
     ids = docs.where(has_words()).groupBy(node().alias("node")).agg(F.min("doc_id").alias("first_id"))

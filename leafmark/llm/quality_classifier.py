@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import materialize, mix64, ngram_hashes, word_hashes
+from leafmark.llm.common import materialize, mix64, ngram_hashes, small_batches, word_hashes
 
 
 def buckets_of(text: str | None, n_buckets: int) -> np.ndarray:
@@ -72,7 +72,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, n_buckets: int = 1 << 14, max_lab
         .withColumn("good", F.lit(True))
     )
     flagged = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-    counts = _counts(flagged, n_buckets).toPandas()
+    with small_batches(docs.sparkSession, 500):
+        counts = _counts(flagged, n_buckets).toPandas()
     raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
     raw[counts["bucket"]], target[counts["bucket"]] = counts["raw"], counts["target"]
     if not target.sum():
@@ -136,7 +137,8 @@ def select(docs: DataFrame, labels: DataFrame, *, k: int | None = None, **option
     score() with that model and threshold repeats the decisions on the documents themselves.
     """
     model = fit(docs, labels, **options)
-    keys = materialize(score(docs.select("doc_id", "text"), model).select("doc_id", "log_weight", "gumbel_key"))
+    with small_batches(docs.sparkSession, 500):
+        keys = materialize(score(docs.select("doc_id", "text"), model).select("doc_id", "log_weight", "gumbel_key"))
     wanted = k if k is not None else round(model.target_share * keys.count())
     threshold = kth_largest(keys, "gumbel_key", wanted)
     return keys.withColumn("kept", F.col("gumbel_key") >= threshold), model, threshold

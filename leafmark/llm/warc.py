@@ -27,7 +27,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import materialize, shared_dir, sifted
+from leafmark.llm.common import materialize, shared_dir, sifted, small_batches
 
 CHUNK = 1 << 20
 MIN_REVISIT = 100
@@ -121,7 +121,8 @@ def write_archives(described: DataFrame, folder: str) -> DataFrame:
             out.close()
         yield pd.DataFrame(made, columns=["archive", "records", "bytes"])
 
-    return materialize(chunk_rows(described).mapInPandas(write, "archive string, records long, bytes long"))
+    with small_batches(described.sparkSession, 500):
+        return materialize(chunk_rows(described).mapInPandas(write, "archive string, records long, bytes long"))
 
 
 def _members(stream, size: int = CHUNK) -> Iterator[tuple[bool, bytes]]:
