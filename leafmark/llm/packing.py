@@ -34,6 +34,8 @@ WINDOW = 2048
 #: Pieces in a group, and the largest piece that goes into one: many smaller pieces leave differencing a fine balance.
 GROUP = 3072
 PIECE = 512
+#: Ids (or pieces, without ids) that a task gives back at once.
+HELD = 1 << 19
 VOCABULARY = "byte_bpe_50k"
 END = 1
 
@@ -117,7 +119,7 @@ def pack(docs: DataFrame, *, window: int = WINDOW, vocabulary: str = VOCABULARY,
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 40
-        made = 0
+        made = held = 0
         rows: list[tuple] = []
         waiting: list[tuple] = []
 
@@ -126,7 +128,9 @@ def pack(docs: DataFrame, *, window: int = WINDOW, vocabulary: str = VOCABULARY,
             return (doc_id, start, stop - start, zlib.crc32(part.tobytes()), len(ids)), part
 
         def place(head, part, sequence, offset):
-            rows.append((*head, base + sequence, offset, *([part.tolist()] if with_ids else [])))
+            nonlocal held
+            rows.append((*head, base + sequence, offset, *([part.astype(np.int32)] if with_ids else [])))
+            held += len(part) if with_ids else 1
 
         def flush():
             nonlocal made, waiting
@@ -139,11 +143,11 @@ def pack(docs: DataFrame, *, window: int = WINDOW, vocabulary: str = VOCABULARY,
             waiting = []
 
         def out():
-            nonlocal rows
+            nonlocal rows, held
             names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
             frame = pd.DataFrame(rows, columns=names)
             frame["doc_id"] = frame["doc_id"].astype("Int64")
-            rows = []
+            rows, held = [], 0
             return frame
 
         for pdf in batches:
@@ -159,6 +163,9 @@ def pack(docs: DataFrame, *, window: int = WINDOW, vocabulary: str = VOCABULARY,
                     waiting.append((head, part if with_ids else None))
                     if len(waiting) == group:
                         flush()
+                # Few enough ids at a time, whatever the size of a batch.
+                if held >= HELD:
+                    yield out()
             yield out()
         flush()
         yield out()
