@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a
 DataFrame; run() writes each stage's result to the shared folder and reads it back as the next one's docs.
+
+Cases: null or empty texts are scored like any other, have no lines to cut, are near no other document, are never taken by the
+mix and so do not reach packing. Ties of scores are kept together; rows that repeat count as documents until near-duplicates leave one
+of them. Further columns, clashing or not, are dropped by the first stage, as all stages but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.llm import line_dedup, minhash, mixing, packing, quality_classifier
-from leafmark.llm.common import materialize
+from leafmark.llm.common import materialize, small_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -60,5 +64,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with small_batches(spark, 500):
+            docs = materialize(stage(spark, docs, sf_dir))
     return docs
