@@ -261,6 +261,13 @@ def conf_bucket(c: Column) -> Column:
     return F.when(c.isNull(), "unknown").when(c < 0.5, "low").when(c < 0.75, "medium").otherwise("high")
 
 
+def name_from_file(c: Column) -> Column:
+    """A name of two or three words in a file's stem, capitalized; plausible.name_from_file() tests it further."""
+    stem = F.regexp_replace(F.regexp_extract(c, r"([^/]*)$", 1), r"\.[A-Za-z0-9]{1,5}$", "")
+    parts = F.filter(words(F.regexp_replace(stem, r"[_\-.]+", " ")), lambda w: ~F.lower(w).isin("essay", "final", "copy", "scan", "page", "draft", "the", "of") & ~w.rlike(r"\d"))
+    return F.when(F.size(parts).between(2, 3), F.array_join(F.transform(parts, capitalized), " "))
+
+
 def best_text(*sources: tuple[str, Column], least: int = 30) -> tuple[Column, Column]:
     """(text, label): the first source with enough words, else the first with any, else an empty one."""
     full = [(label, c, F.size(words(F.coalesce(c, F.lit(""))))) for label, c in sources]
