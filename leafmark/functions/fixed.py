@@ -92,3 +92,13 @@ SCHOOL_NAMES = {
     "RACHEL_CARSON": "Rachel Carson Elementary School", "DE_LA_SALLE_INSTITUTE": "De La Salle Institute", "EDWARDS": "Edwards",
     "PS_667_B": "PS 667 B", "ST_MARY_PONTIAC": "St Mary Pontiac", "MUNDELEIN_HS": "Mundelein HS",
 }
+# Patterns of fields in a document's whole text, which records quote as evidence, and words for kindergarten there.
+TEXT_GRADES = (
+    r"(?im)\b(?:grade|grado)\s*[:\-]?\s*(pre[\s\-]?k|k|[0-9]{1,2})\b",
+    r"(?im)\b([1-9]|1[0-2])(?:st|nd|rd|th)?\s*grade\b",
+    r"(?im)(?:grade|grado)\s+([1-9]|1[0-2])\b",
+    r"(?im)(?:^|[,/\-])\s*([1-9]|1[0-2])(?:st|nd|rd|th)?\s*grade\b",
+)
+TEXT_SCHOOLS = (r"(?im)\b(?:school(?:\s+name)?|campus|escuela)\s*[:\-]?\s*([^\n\r]{2,120})",)
+TEXT_KINDER = ("K", "KINDER", "KINDERGARTEN", "PRE-K", "PREK")
+TEXT_SOURCE = "final_text_ocr_aggregate"

@@ -50,6 +50,25 @@ def periodic_starts(starts: DataFrame) -> DataFrame:
     return marked.withColumn("is_start", F.when(use, F.col("__c")).otherwise(F.col("is_start"))).drop("__c", "__n", "__k")
 
 
+def band_refine(starts: DataFrame, top: float = 0.15) -> DataFrame:
+    """Starts (with bands, an array of y0 and y1 from 0 at the top to 1) of scanned documents whose four pages or more all count as starts.
+
+    If two pages or more have a dark band near their top, only these and the first page stay starts. Documents of low confidence
+    throughout are left as they are.
+    """
+    doc = Window.partitionBy("doc_id")
+    scanned = F.col("format") != "native_text"
+    marked = starts.withColumn("__d", F.coalesce(F.exists("bands", lambda b: b["y0"] < top), F.lit(False))).withColumns(
+        {
+            "__all": F.bool_and("is_start").over(doc) & (F.col("pages") >= 4) & scanned & ~F.bool_and(F.col("confidence") < 0.35).over(doc),
+            "__n": F.count_if(F.col("__d")).over(doc),
+            "__first": F.col("page_index") == F.min("page_index").over(doc),
+        }
+    )
+    use = F.col("__all") & (F.col("__n") >= 2)
+    return marked.withColumn("is_start", F.when(use, F.col("__first") | F.col("__d")).otherwise(F.col("is_start"))).drop("__d", "__all", "__n", "__first")
+
+
 def chunk_ranges(starts: DataFrame) -> DataFrame:
     """Each start page runs to the page before the next."""
     last = starts.groupBy("doc_id").agg(F.max("page_index").alias("__last"))
@@ -223,6 +242,15 @@ def _types(s, d):
     return T.pages(s, d).select("doc_id").distinct().withColumn("doc_type", T.pick(T.DOC_TYPES, F.col("doc_id") % 9))
 
 
+def _banded(s, d):
+    """Starts with dark bands that follow from the texts; in every second document all pages have the form's header."""
+    head = F.when(F.col("doc_id") % 2 == 0, F.lit("Student Name Grade School Essay\n")).otherwise(F.lit(""))
+    low = (F.length("text") % 20) / 20.0
+    bands = F.when(F.length("text") % 3 != 0, F.array(F.struct(low.alias("y0"), (low + 0.05).alias("y1"))))
+    rows = start_pages(described(T.pages(s, d).withColumn("text", F.concat(head, F.col("text")))))
+    return rows.withColumn("bands", bands)
+
+
 def _lists(s, d):
     page = lambda i: F.struct(F.lit(i).alias("page_index"), F.concat(F.lit("t"), F.lit(i)).alias("text"))
     none = F.array().cast("array<struct<page_index:string,text:string>>")
@@ -242,6 +270,7 @@ QUERIES = {
     "doc_format": lambda s, d: doc_format(_described(s, d)),
     "start_pages": lambda s, d: _starts(s, d).select("doc_id", "page_index", "is_start"),
     "periodic_starts": lambda s, d: periodic_starts(_starts(s, d)).select("doc_id", "page_index", "is_start"),
+    "band_refine": lambda s, d: band_refine(_banded(s, d)).select("doc_id", "page_index", "is_start"),
     "chunk_ranges": lambda s, d: chunk_ranges(_starts(s, d)),
     "doc_structure": lambda s, d: doc_structure(_starts(s, d)),
     "bulk_heuristic": lambda s, d: bulk_heuristic(_starts(s, d)),
@@ -286,12 +315,19 @@ av as (select f.*, h.page_index, case when exact then 1.0::double when not exact
   from fl f left join ht h on h.doc_id = f.doc_id and h.field = f.field and nth = 1)
 """
 _D, _F = (T.PAGES, DESCRIBED), (T.PAGES, FIELDS)
+_BANDED = (
+    T.PAGES.replace("doc_pages as", "own_pages as"),
+    "doc_pages as (select * exclude text, case when doc_id % 2 = 0 then 'Student Name Grade School Essay' || chr(10) else '' end || text as text from own_pages)",
+)
 ORACLE = {
     "doc_format": T.sql("select * from df", *_D),
     "start_pages": T.sql("select doc_id, page_index, is_start from st", *_D),
     "periodic_starts": T.sql("""c as (select *, (page_index - lo) % 2 = 0 and (page_index = lo or (relaxed >= 0.1 and chars >= 3)) as cand from st),
       k as (select *, count(*) filter (is_start) over (partition by doc_id) as n, count(*) filter (cand) over (partition by doc_id) as kk from c)
       select doc_id, page_index, case when format <> 'native_text' and pages >= 6 and n = 1 and kk >= 2 then cand else is_start end as is_start from k""", *_D),
+    "band_refine": T.sql("""b as (select *, coalesce(length(text) % 3 <> 0 and length(text) % 20 / 20.0 < 0.15, false) as dark from st),
+      k as (select *, bool_and(is_start) over w and pages >= 4 and format <> 'native_text' and not bool_and(confidence < 0.35) over w as every, count(*) filter (dark) over w as n from b window w as (partition by doc_id))
+      select doc_id, page_index, case when every and n >= 2 then page_index = lo or dark else is_start end as is_start from k""", *_BANDED, DESCRIBED),
     "chunk_ranges": T.sql("select * from cr", *_D),
     "doc_structure": T.sql("select doc_id, case when bool_and(format <> 'native_text' and confidence < 0.35) then 'single' when bool_and(regexp_matches(text, '(?i)^student name grade school essay') and chars < 150) then 'template' when count(*) filter (is_start) > 1 then 'multi' else 'single' end as structure from st group by 1", *_D),
     "bulk_heuristic": T.sql("select doc_id, count(*) > 1 and count(*) filter (contains(lower(text), 'student name')) >= 2 and count(*) filter (page_index - lo < 3 and score >= 0.2) >= 2 as bulk from st group by 1", *_D),

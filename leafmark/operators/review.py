@@ -300,6 +300,9 @@ QUERIES = {
     "sanitize_fields": lambda s, d: T.submissions(s, d).select("doc_id", sanitized(F.concat(F.lit("-- "), "student_name")).alias("name"), sanitized(F.when(F.col("doc_id") % 5 == 0, F.lit("Monday, May 4")).otherwise(F.col("school_name"))).alias("school")),
     "field_swap": lambda s, d: T.submissions(s, d).select("doc_id", F.coalesce(X.norm_key(F.col("student_name")) == X.norm_key(F.col("school_name")), F.lit(False)).alias("same")),
     "review_repair": lambda s, d: review_repair(T.submissions(s, d)),
+    "codes_sync": lambda s, d: T.submissions(s, d).select(
+        "doc_id", F.array_join(codes_sync(X.codes_norm(F.col("review_reason_codes")), {"MISSING_GRADE": F.col("doc_id") % 3 == 0, "MISSING_SCHOOL_NAME": F.col("school_name").isNull()}), ";").alias("codes")
+    ),
     "bulk_edit": lambda s, d: bulk_edit(T.submissions(s, d), _some(s, d), grade=F.lit("6"), school_name=F.lit("Hilltop School")).select(*KEYS, "grade", "school_name", "needs_review", "review_reason_codes"),
     "bulk_rename": lambda s, d: bulk_rename(T.submissions(s, d), "school_name", "Lindenhof Schule", "Lindenhof").select(*KEYS, "school_name"),
     "bulk_to_review": lambda s, d: bulk_to_review(T.submissions(s, d), _some(s, d)).select(*KEYS, "needs_review"),
@@ -383,6 +386,8 @@ ORACLE = {
     "field_swap": T.sql(f"select doc_id, {_nk('student_name')} = {_nk('school_name')} as same from submissions", *_S),
     "review_repair": T.sql("""a as (select *, case when needs_review and review_reason_codes = '' and missing = '' then 'approve' when needs_review and review_reason_codes = '' then 'explain'
       when not needs_review and regexp_matches(missing, 'student_name|school_name|grade') then 'reopen' end as action from missed) select doc_id, action, missing, action <> 'approve' as needs_review from a where action is not null""", *_V),
+    "codes_sync": T.sql("""select doc_id, array_to_string(list_sort(list_concat(list_filter(list_distinct(string_split(review_reason_codes, ';')), lambda x: x not in ('', 'MISSING_GRADE', 'MISSING_SCHOOL_NAME')),
+      case when doc_id % 3 = 0 then ['MISSING_GRADE'] else [] end, case when school_name is null then ['MISSING_SCHOOL_NAME'] else [] end)), ';') as codes from submissions""", T.SUBMISSIONS),
     "bulk_edit": T.sql(f"""e as (select *, {_ON} as on_it from checked), c as (select *, array_to_string(list_sort(list_distinct(list_concat(list_filter(string_split(review_reason_codes, ';'),
         lambda x: x not in ('', 'MISSING_GRADE', 'MISSING_SCHOOL_NAME', 'MISSING_STUDENT_NAME')), case when no_name then ['MISSING_STUDENT_NAME'] else [] end))), ';') as synced from e)
       select doc_id, submission_id, case when on_it then '6' else grade end as grade, case when on_it then 'Hilltop School' else school_name end as school_name,

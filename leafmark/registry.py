@@ -13,11 +13,13 @@ MODULES: list[str] = [
     "leafmark.operators.reports",
     "leafmark.operators.records",
     "leafmark.operators.pages",
+    "leafmark.operators.doc_codes",
     "leafmark.operators.lines",
     "leafmark.operators.forms",
     "leafmark.operators.matching",
     "leafmark.operators.similar_pages",
     "leafmark.streaming.jobs",
+    "leafmark.sources.queries",
 ]
 
 

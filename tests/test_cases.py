@@ -7,7 +7,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
-from leafmark.operators import matching, pages, rankings, records, review
+from leafmark.operators import doc_codes, matching, pages, rankings, records, review
 from leafmark.plans import tables as T
 from leafmark.streaming import jobs
 
@@ -107,3 +107,37 @@ def test_stream_intake_drops_resent(spark, tmp_path):
     stream = jobs.stream_intake(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")))
     got = jobs.drain(stream, "append", "intake", str(tmp_path / "cp"))
     assert got.count() == docs.select("text").distinct().count()
+
+
+def test_dark_bands_refine_starts(spark):
+    def doc(i, bands, format="image_only", confidence=0.9, starts=None):
+        return [(i, k, format, len(bands), confidence, starts is None or k in starts, None if b is None else [(b, b + 0.05)]) for k, b in enumerate(bands)]
+
+    rows = doc(1, [None, 0.1, 0.5, 0.0]) + doc(2, [None, 0.1, 0.5, 0.9]) + doc(3, [0.1, 0.1, 0.5], "hybrid") + doc(4, [0.1, 0.1, 0.5, 0.5], "native_text")
+    rows += doc(5, [0.1, 0.1, 0.5, 0.5], confidence=0.2) + doc(6, [0.1, 0.1, 0.5, 0.5], starts=(0, 1, 2)) + doc(7, [0.1, 0.5, 0.14, 0.15], "hybrid")
+    starts = spark.createDataFrame(rows, "doc_id long, page_index int, format string, pages long, confidence double, is_start boolean, bands array<struct<y0:double,y1:double>>")
+    got = {}
+    for r in pages.band_refine(starts).where("is_start").orderBy("page_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["page_index"])
+    assert got == {1: [0, 1, 3], 2: [0, 1, 2, 3], 3: [0, 1, 2], 4: [0, 1, 2, 3], 5: [0, 1, 2, 3], 6: [0, 1, 2], 7: [0, 2]}
+
+
+@pytest.mark.parametrize(
+    ("text", "grade", "school"),
+    [
+        ("Grade / Grado: 5\nSchool: Hilltop  High.", "5", "Hilltop High"), ("Alva Brook, Hilltop, 6th grade", "6", None), ("Grade: 13\n6th grade", None, None), ("grado pre-k", "pre-k", None),
+        ("School and if anything", None, None), ("the campus - West Hill", None, "West Hill"), ("", None, None), (None, None, None),
+    ],
+)
+def test_fields_of_whole_texts(spark, text, grade, school):
+    assert one(spark, doc_codes.text_grade, text) == grade
+    assert one(spark, doc_codes.text_school, text) == school
+
+
+def test_codes_of_documents(spark):
+    rows = [(1, " a\nb", None, None, False, True), (2, "x", None, None, True, True), (3, None, "5", "Hilltop", False, False), (4, None, "5", None, False, False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, grade string, school_name string, template boolean, low_confidence boolean")
+    got = {r["doc_id"]: (r["codes"], {k: v["snippet"] for k, v in r["evidence"].items()}) for r in doc_codes.doc_codes(docs).collect()}
+    missing = ["MISSING_GRADE", "MISSING_SCHOOL_NAME"]
+    assert got[1] == (missing + ["OCR_LOW_CONFIDENCE"], {"grade": "a\nb", "school_name": "a\nb"})
+    assert got[2] == (["OCR_LOW_CONFIDENCE", "TEMPLATE_ONLY"], {}) and got[3] == ([], {}) and got[4] == (missing[1:], {"school_name": ""})

@@ -6,7 +6,6 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from leafmark import registry
-from leafmark.llm import sharding
 from leafmark.streaming import jobs
 
 QUERIES = registry.queries()
@@ -53,17 +52,6 @@ def test_window_at_every_hour(spark, tmp_path):
     assert len(starts) == 24 and (starts[0], starts[-1]) == ("2024-01-01 06:00", "2024-01-02 05:00")
 
 
-def test_records_follow_the_newest_stored_map(spark, monkeypatch):
-    paths, edit = [], sharding.rebalance
-    load = sharding.load_map
-    monkeypatch.setattr(sharding, "rebalance", lambda *a: [sharding.SHARDS - 1 - shard for shard in edit(*a)])
-    monkeypatch.setattr(sharding, "load_map", lambda s, path, *a: load(s, paths.append(path) or path, *a))
-    out = sharding.op7_query(spark, SF).select("virtual_slot", "shard").distinct().collect()
-    first, newest = ({r["virtual_slot"]: r["shard"] for r in load(spark, paths[0], v).collect()} for v in (1, None))
-    assert len(first) == sharding.SLOTS and first != newest
-    assert out and all(newest[r["virtual_slot"]] == r["shard"] for r in out)
-
-
 def test_newest_jobs(spark):
     latest = spark.range(30).selectExpr("id as job_id", "timestamp_seconds(id) as created_at", "if(id % 2 = 0, 'queued', 'failed') as status").where("job_id <> 25")
     assert {r["status"]: r["n"] for r in jobs.newest_status(latest).collect()} == {"queued": 5, "failed": 5}
