@@ -1,14 +1,17 @@
 """Matching noisy names to a reference list.
 
-Inputs are made distinct first, so the work follows the number of different names. Tiers run in order and each sees
-only what the earlier ones left: an equality join; containment against the reference, which is a list of at
-most BROADCAST_ROWS names (checked) and is broadcast; and similarity, a difflib ratio in an Arrow function, only for pairs whose lengths
-allow the threshold at all, a native join condition. Results of a tier are the first by reference order.
+Inputs and reference are made distinct first, so the work follows the number of different names. Tiers run in order and each
+sees only what the earlier ones left. Equality and containment are joins on keys: a name that lies in another shares its first
+letters with one of the other's runs of as many letters, so only names that share such a run meet. Similarity, a difflib ratio
+in an Arrow function, has no such key: there the reference is a stated list, taken in blocks of a bounded size that are
+broadcast one by one, and pairs whose lengths or shared pairs of letters rule the threshold out never reach Python. Results of
+a tier are the first by reference order.
 """
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,8 +21,10 @@ from pyspark.sql.types import BooleanType, DoubleType
 from leafmark.functions import text as X
 from leafmark.plans import tables as T
 
-#: The longest reference list: it is compared with every different name that equality leaves, so it is broadcast.
-BROADCAST_ROWS = 100_000
+#: Reference names that are broadcast at a time where names are compared by similarity; a longer list takes several rounds.
+BLOCK_ROWS = 50_000
+#: Letters of the runs by which containment is joined; names with fewer are found by their whole length.
+RUN = 4
 
 
 @F.pandas_udf(DoubleType())
@@ -41,10 +46,33 @@ def words_close(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _reference(reference: DataFrame) -> DataFrame:
+    """The different normalized names; of those that are alike, the first."""
     rows = reference.select("ref_idx", F.col("name").alias("ref_name"), X.norm_match(F.col("name")).alias("ref_norm"))
-    if (n := reference.count()) > BROADCAST_ROWS:
-        raise ValueError(f"a reference of {n} names is more than the {BROADCAST_ROWS} that may be broadcast")
-    return F.broadcast(rows)
+    return rows.groupBy("ref_norm").agg(F.min_by(F.struct("ref_idx", "ref_name"), "ref_idx").alias("r")).select("r.ref_idx", "r.ref_name", "ref_norm")
+
+
+def _blocks(ref: DataFrame) -> list[DataFrame]:
+    """The reference in parts of about BLOCK_ROWS names at most, each small enough to be broadcast."""
+    n = -(-ref.count() // BLOCK_ROWS)
+    return [F.broadcast(ref.where(F.pmod(F.xxhash64("ref_norm"), F.lit(n)) == i)) for i in range(n)] if n > 1 else [F.broadcast(ref)]
+
+
+def _joined(names: DataFrame, blocks: list[DataFrame], condition: Column) -> DataFrame:
+    return reduce(DataFrame.unionByName, [names.join(b, condition) for b in blocks])
+
+
+def _runs(c: Column) -> Column:
+    """All runs of 1 to RUN letters of a string, each once."""
+    of = lambda n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.array(*[of(n) for n in range(1, RUN + 1)])))
+
+
+def _contained(inner: DataFrame, inside: str, outer: DataFrame, outside: str) -> DataFrame:
+    """Pairs of rows whose inside column, not empty, lies within the outside column of the other."""
+    keyed = inner.where(F.length(inside) > 0).withColumn("__run", F.substring(inside, 1, RUN))
+    wanted = keyed.select("__run").distinct()
+    runs = outer.withColumn("__run", F.explode(_runs(F.col(outside)))).join(wanted, "__run", "left_semi")
+    return keyed.join(runs, "__run").where(F.col(outside).contains(F.col(inside))).drop("__run")
 
 
 def _reach(a: Column, b: Column, floor: float) -> Column:
@@ -52,6 +80,18 @@ def _reach(a: Column, b: Column, floor: float) -> Column:
     return 2 * F.least(a, b) >= floor * (a + b)
 
 
+def _pairs_reach(floor: float) -> Column:
+    """Whether two names share enough different pairs of adjacent letters for that ratio.
+
+    m matching letters of s in all lie in at most s - 2 m + 1 unbroken runs, as unmatched letters part them; so at least
+    3 m - s - 1 places of a name begin a pair of letters that the other name holds too.
+    """
+    at = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(2)))
+    s = F.length("norm") + F.length("ref_norm")
+    shared = X.let(at(F.col("ref_norm")), lambda r: F.size(F.filter(at(F.col("norm")), lambda p: F.array_contains(r, p))))
+    return shared >= 3 * F.ceil(F.lit(floor / 2) * s - 1e-9) - s - 1
+
+
 def _words_reach(floor: float = 0.8) -> Column:
     """Whether every word of the side with fewer words has one of a fitting length on the other."""
     p, q = (F.filter(F.split(c, " "), lambda w: F.length(w) >= 2) for c in ("norm", "ref_norm"))
@@ -65,10 +105,18 @@ def _first(rows: DataFrame, method: str, confidence: Column) -> DataFrame:
 
 
 def _plain_tiers(norms: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(exact, partial, rest): the first two tiers and the names they leave."""
+    """(exact, partial, rest): the first two tiers and the names they leave. The empty string lies in every name."""
     exact = _first(norms.join(ref, norms["norm"] == ref["ref_norm"]), "exact", F.lit(1.0))
     left = norms.join(exact.select("norm"), "norm", "left_anti")
-    partial = _first(left.join(ref, F.col("norm").contains(F.col("ref_norm")) | F.col("ref_norm").contains(F.col("norm"))), "partial", F.lit(0.95))
+    first = ref.agg(F.min_by(F.struct("ref_idx", "ref_name", "ref_norm"), "ref_idx").alias("r")).where("r is not null").select("r.*")
+    pairs = [
+        _contained(ref, "ref_norm", left, "norm"),
+        _contained(left, "norm", ref, "ref_norm"),
+        left.join(F.broadcast(ref.where("ref_norm = ''")), how="cross"),  # one row at most
+        left.where("norm = ''").join(F.broadcast(first), how="cross"),  # one row
+    ]
+    columns = ("norm", "ref_idx", "ref_name")
+    partial = _first(reduce(DataFrame.unionByName, [p.select(*columns) for p in pairs]), "partial", F.lit(0.95))
     return exact, partial, left.join(partial.select("norm"), "norm", "left_anti")
 
 
@@ -93,9 +141,10 @@ def match(names: DataFrame, reference: DataFrame, floor: float = 0.8) -> DataFra
     """All five tiers: equal, contained, all words close, most similar of at least the floor, none."""
     ref = _reference(reference)
     exact, partial, rest = _plain_tiers(_norms(names), ref)
-    pairs = rest.join(ref, _words_reach())
+    blocks = _blocks(ref)
+    pairs = _joined(rest, blocks, _words_reach())
     fuzzy_words = _first(pairs.where(words_close("norm", "ref_norm")), "fuzzy_partial", F.lit(0.9))
-    left = rest.join(fuzzy_words.select("norm"), "norm", "left_anti").join(ref, _reach(F.length("norm"), F.length("ref_norm"), floor))
+    left = _joined(rest.join(fuzzy_words.select("norm"), "norm", "left_anti"), blocks, _reach(F.length("norm"), F.length("ref_norm"), floor) & _pairs_reach(floor))
     near = left.withColumn("r", seq_ratio("norm", "ref_norm")).where(F.col("r") >= floor)
     best = near.groupBy("norm").agg(F.max_by(F.struct("ref_idx", "ref_name", F.col("r").alias("confidence")), F.struct("r", -F.col("ref_idx"))).alias("b"))
     fuzzy = best.select("norm", F.lit("fuzzy").alias("method"), "b.confidence", "b.ref_idx", "b.ref_name")

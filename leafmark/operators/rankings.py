@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmark.plans import tables as T
@@ -37,10 +40,25 @@ def round_two(rankings: DataFrame, finalists: DataFrame) -> DataFrame:
     return rankings.join(finalists.select("assignment_id").distinct(), "assignment_id", "left_semi")
 
 
+def numbered(rows: DataFrame, by: str, keys: dict[str, bool], tie: Column, name: str) -> DataFrame:
+    """rows numbered from 1 within each value of by: by keys (column to whether it descends), equal ones by tie.
+
+    Rows with equal keys are counted first, and the running sums of these counts tell where each run of equal keys starts. So no
+    task sorts a whole group: the window over a group sees one row for each different combination of keys, the other one a run.
+    """
+    order = [F.desc(k) if down else F.asc(k) for k, down in keys.items()]
+    runs = rows.groupBy(by, *keys).agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))).select(*[F.col(k).alias(f"__{k}") for k in (by, *keys)], "__before")
+    same = reduce(and_, [rows[k].eqNullSafe(starts[f"__{k}"]) for k in (by, *keys)])
+    within = F.row_number().over(Window.partitionBy(by, *keys).orderBy(tie))
+    return rows.join(starts, same).withColumn(name, (F.col("__before") + within).cast("int")).select(*rows.columns, name)
+
+
 def final_position(results: DataFrame, essays: DataFrame, by: str = "grade") -> DataFrame:
     """Results with the essays' fields, numbered within each grade; a submission without a record has no grade."""
-    order = Window.partitionBy(by).orderBy("average_rank", F.desc("first_votes"), F.desc("second_votes"), F.desc("num_ranks"), F.col("submission_id").cast("string"))
-    return results.join(essays, "submission_id", "left").withColumn("final_position", F.row_number().over(order))
+    keys = {"average_rank": False, "first_votes": True, "second_votes": True, "num_ranks": True}
+    return numbered(results.join(essays, "submission_id", "left"), by, keys, F.col("submission_id").cast("string"), "final_position")
 
 
 def round_two_seed(positions: DataFrame, n: int = 10) -> DataFrame:

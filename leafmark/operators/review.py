@@ -37,25 +37,33 @@ def any_of(c: Column, parts: tuple[str, ...]) -> Column:
 
 def sanitized(c: Column) -> Column:
     """Without leading noise; null for what reads as a date or page header."""
-    s = X.trimmed(F.regexp_replace(X.trimmed(c), r"^[^A-Za-z0-9]+", ""))
-    low = F.lower(s)
-    dated = any_of(low, WEEKDAYS) & (any_of(low, MONTHS) | low.rlike(r"\b\d{4}\b"))
-    header = low.rlike(r"\bpage +\d+\b") | dated | low.isin("ifi", "i said", "initiative", "illinois", "english page 2")
-    return F.when((s != "") & ~header, s)
+
+    def kept(s: Column) -> Column:
+        def header(low: Column) -> Column:
+            dated = any_of(low, WEEKDAYS) & (any_of(low, MONTHS) | low.rlike(r"\b\d{4}\b"))
+            return low.rlike(r"\bpage +\d+\b") | dated | low.isin("ifi", "i said", "initiative", "illinois", "english page 2")
+
+        return F.when((s != "") & ~X.let(F.lower(s), header), s)
+
+    return X.let(X.trimmed(F.regexp_replace(X.trimmed(c), r"^[^A-Za-z0-9]+", "")), kept)
 
 
 def missing_name(c: Column) -> Column:
-    s = F.regexp_replace(sanitized(c), r"[.,;:]+$", "")
-    low = F.lower(s)
-    label = any_of(low, ("father/father-figure name", "nombre deo padre", "figura paterna", "student's name", "nombre del estudiante")) | (low == "judging process")
-    return s.isNull() | (F.length(s) < 2) | label | (F.length(s) > 60) | (F.size(X.words(s)) > 5) | s.rlike(r"[.!?;:]")
+    def missing(s: Column) -> Column:
+        low = F.lower(s)
+        label = any_of(low, ("father/father-figure name", "nombre deo padre", "figura paterna", "student's name", "nombre del estudiante")) | (low == "judging process")
+        return s.isNull() | (F.length(s) < 2) | label | (F.length(s) > 60) | (F.size(X.words(s)) > 5) | s.rlike(r"[.!?;:]")
+
+    return X.let(F.regexp_replace(sanitized(c), r"[.,;:]+$", ""), missing)
 
 
 def missing_school(c: Column) -> Column:
-    s = sanitized(c)
-    low = F.lower(s)
-    essay = s.contains("\n") | (F.length(s) > 80) | (F.size(X.words(s)) > 8) | s.rlike(r"[.!?;:]") | any_of(low, ESSAY_MARKERS)
-    return s.isNull() | (F.length(s) < 3) | low.isin("escuela", "/ escuela", "school", "school name") | low.contains("a dog") | essay
+    def missing(s: Column) -> Column:
+        low = F.lower(s)
+        essay = s.contains("\n") | (F.length(s) > 80) | (F.size(X.words(s)) > 8) | s.rlike(r"[.!?;:]") | any_of(low, ESSAY_MARKERS)
+        return s.isNull() | (F.length(s) < 3) | low.isin("escuela", "/ escuela", "school", "school name") | low.contains("a dog") | essay
+
+    return X.let(sanitized(c), missing)
 
 
 def with_policy(records: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def newest_status(latest: DataFrame, n: int = 10) -> DataFrame:
 
 def next_job(events: DataFrame) -> DataFrame:
     """The next queued row of each batch: highest value first, then the oldest. A report; nothing is claimed."""
-    order = Window.partitionBy("batch_id").orderBy(F.desc("value"), "ts", "event_id")
-    return events.where("status = 'queued'").withColumn("n", F.row_number().over(order)).where("n = 1").select("batch_id", "event_id", "job_id")
+    first = F.struct(F.col("value").isNull(), -F.col("value"), "ts", "event_id")
+    return events.where("status = 'queued'").groupBy("batch_id").agg(F.min_by(F.struct("event_id", "job_id"), first).alias("next")).select("batch_id", "next.event_id", "next.job_id")
 
 
 def queue_wait(events: DataFrame) -> DataFrame:
@@ -61,10 +61,17 @@ def queue_wait(events: DataFrame) -> DataFrame:
 
 
 def batch_complete(events: DataFrame, wanted: int) -> DataFrame:
-    """Batches whose ended events reach the wanted number, and the time at which they did."""
+    """Batches whose ended events reach the wanted number, and the time at which they did.
+
+    Events are counted by hour first; only those of the hour in which a batch reaches the number are sorted.
+    """
+    ended = events.where("status in ('finished', 'failed')").select("batch_id", "ts", "event_id", F.date_trunc("hour", "ts").alias("hour"))
+    hours = ended.groupBy("batch_id", "hour").agg(F.count("*").alias("n"))
+    reached = hours.withColumn("upto", F.sum("n").over(Window.partitionBy("batch_id").orderBy("hour"))).where((F.col("upto") >= wanted) & (F.col("upto") - F.col("n") < wanted))
+    last = reached.select(F.col("batch_id").alias("b"), F.col("hour").alias("h"), (wanted - F.col("upto") + F.col("n")).alias("nth"))
+    rows = ended.join(last, F.col("batch_id").eqNullSafe(F.col("b")) & F.col("hour").eqNullSafe(F.col("h")))
     order = Window.partitionBy("batch_id").orderBy("ts", "event_id")
-    ended = events.where("status in ('finished', 'failed')").withColumn("n", F.row_number().over(order))
-    return ended.where(F.col("n") == wanted).select("batch_id", F.col("ts").alias("completed_at"))
+    return rows.withColumn("i", F.row_number().over(order)).where("i = nth").select("batch_id", F.col("ts").alias("completed_at"))
 
 
 def queue_window(events: DataFrame, size: str = "24 hours", slide: str = "6 hours") -> DataFrame:
