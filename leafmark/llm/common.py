@@ -64,7 +64,7 @@ SIEVE_BITS, SIEVE_ROW = 1 << 23, 1 << 15
 
 
 def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
-    """df with may: false for rows whose key is surely not among the wanted keys (one column).
+    """df with __may: false for rows whose key is surely not among the wanted keys (one column).
 
     A bitmap of SIEVE_BITS bits, whatever the tables' sizes, is made from hashes of the wanted keys and broadcast. Rows that do not
     pass need no shuffle to meet the wanted ones. A sieve that has filled up lets everything pass.
@@ -76,7 +76,7 @@ def sifted(df: DataFrame, key: Column, wanted: DataFrame) -> DataFrame:
     joined = df.withColumn("__sieve_at", at).withColumn("__sieve_own", F.floor(F.col("__sieve_at") / SIEVE_ROW)).join(F.broadcast(rows), F.col("__sieve_own") == F.col("__sieve_row"), "left")
     byte = F.conv(F.hex(F.substring("__sieve_bits", (F.floor((F.col("__sieve_at") % SIEVE_ROW) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     bit = F.floor(byte / F.pow(F.lit(2.0), F.col("__sieve_at") % 8)) % 2 == 1
-    return joined.withColumn("may", F.coalesce(bit, F.lit(False))).drop("__sieve_at", "__sieve_own", "__sieve_row", "__sieve_bits")
+    return joined.withColumn("__may", F.coalesce(bit, F.lit(False))).drop("__sieve_at", "__sieve_own", "__sieve_row", "__sieve_bits")
 
 
 @contextmanager

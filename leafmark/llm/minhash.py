@@ -20,7 +20,7 @@ Cases: words are runs of non-blank characters, lower-cased; a text of one to fou
 text without words (null or empty) links with nothing but equal rows' texts: null with null, empty with
 empty are not linked, each such row is a class of its own. Null doc_ids count as larger than any other; the class
 of documents without any id has a null class_id, and all of its rows are kept. Rows that repeat a doc_id and text are one document. Two
-texts whose 64-bit hashes collide would be taken as copies. Further columns pass through keep_one().
+texts whose 64-bit hashes collide would be taken as copies. Further columns pass through keep_one(), those of one row where rows repeat.
 """
 
 from __future__ import annotations
@@ -211,7 +211,7 @@ def feature_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     rows = docs.where(has_words()).select(node().alias("node"), "text")
     # Only texts that pass the sieve are shuffled to meet the wanted nodes.
-    texts = sifted(rows, F.col("node"), wanted.select("node")).where("may").drop("may").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    texts = sifted(rows, F.col("node"), wanted.select("node")).where("__may").drop("__may").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
     return texts.mapInPandas(take, "node long, features binary, n long")
 
 
@@ -380,19 +380,28 @@ def label(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without all but one document of each class.
+    """docs without all but one document of each class; of rows that repeat its doc_id and text, one stays.
 
     Only texts of classes with several documents are shuffled, to meet their classes; all others pass a sieve.
     """
     classes = near_duplicates(docs, threshold)
     # A text stays as it is unless it is in a class of other texts or has copies.
-    several = docs.where(has_words()).groupBy(node().alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node")
-    moved = materialize(classes.where("not class_id <=> first_id").select("node").unionByName(several).distinct())
-    rows = sifted(docs.withColumn("__key", F.when(has_words(), node())), F.col("__key"), moved).withColumnRenamed("may", "__may")
-    named = classes.join(moved, "node", "left_semi").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"))
+    copies = docs.where(has_words()).groupBy(node().alias("node"), "doc_id").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("same_id"))
+    several = copies.where("n > 1").select("node", (F.col("same_id") > 1).alias("again"))
+    others = classes.where("not class_id <=> first_id").select("node", F.lit(False).alias("again"))
+    moved = materialize(others.unionByName(several).groupBy("node").agg(F.max("again").alias("again")))
+    rows = sifted(docs.withColumn("__key", F.when(has_words(), node())), F.col("__key"), moved)
+    named = classes.join(moved, "node").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("again").alias("__again"))
     asked = rows.where("__may").join(named.hint("shuffle_hash"), F.col("__key") == F.col("__node"), "left")
-    stay = asked.where(F.col("__node").isNull() | F.col("__class").eqNullSafe(F.col("doc_id")))
-    return rows.where("not __may").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    once = F.col("__again") & F.col("doc_id").isNotNull()
+    stay = asked.where(F.col("__node").isNull() | (F.col("__class").eqNullSafe(F.col("doc_id")) & ~once))
+    kept = rows.where("not __may").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    if moved.where("again").isEmpty():
+        return kept
+    repeated = named.where("__again").drop("__again")
+    met = sifted(docs.where(has_words()).withColumn("__key", node()), F.col("__key"), repeated.select("__node")).where("__may")
+    first = met.join(repeated.hint("shuffle_hash"), (F.col("__key") == F.col("__node")) & (F.col("doc_id") == F.col("__class"))).dropDuplicates(["__node", "doc_id"])
+    return kept.unionByName(first.select(*docs.columns))
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def block(captures: DataFrame, entries: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     listed = intervals(entries)
     # Suffixes of one label, the hot ones, and all others that are on no list at all stop at a sieve of fixed size before the join.
-    keys = sifted(asked.withColumn("domain", F.explode(suffixes)), F.col("domain"), listed.select("domain")).where("may").drop("may")
+    keys = sifted(asked.withColumn("domain", F.explode(suffixes)), F.col("domain"), listed.select("domain")).where("__may").drop("__may")
     met = keys.join(listed, "domain").where((F.col("valid_from") <= F.col("__at")) & (F.col("valid_to").isNull() | (F.col("__at") < F.col("valid_to"))))
     best = met.groupBy(F.col("host").alias("__host"), "__at").agg(F.max(F.struct(F.length("domain").alias("n"), "domain", "valid_from")).alias("__best"))
     answered = kept.join(best, (F.col("host") == F.col("__host")) & (F.col("fetched_at") == F.col("__at")), "left")

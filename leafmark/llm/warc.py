@@ -47,8 +47,8 @@ def with_roles(pages: DataFrame) -> DataFrame:
     rows = sifted(described, F.col("page_id"), later.select("__id"))
     same = F.col("page_id").eqNullSafe(F.col("__id")) & (F.col("payload_digest") == F.col("__digest"))
     # By page_id, as one digest may hold a third of all payloads; the ids are the side that is hashed.
-    met = rows.where("may").drop("may").join(later.hint("shuffle_hash"), same, "left").drop("__id", "__digest")
-    return rows.where("not may").drop("may").withColumn("refers_to", F.lit(None).cast("long")).unionByName(met)
+    met = rows.where("__may").drop("__may").join(later.hint("shuffle_hash"), same, "left").drop("__id", "__digest")
+    return rows.where("not __may").drop("__may").withColumn("refers_to", F.lit(None).cast("long")).unionByName(met)
 
 
 def chunk_rows(described: DataFrame, size: int = CHUNK) -> DataFrame:

@@ -30,7 +30,7 @@ from leafmark.llm import (
 )
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASH = ("size", "kept", "slot", "shard", "node", "target", "copies", "n_words", "cuts", "n", "rate", "bucket", "class_id", "virtual_slot", "host")
+CLASH = ("size", "kept", "slot", "shard", "node", "target", "copies", "n_words", "cuts", "n", "rate", "bucket", "class_id", "virtual_slot", "host", "may", "again", "doc", "nth", "hash", "band", "log_weight", "gumbel_key", "version", "bytes", "rows", "times", "tokens", "a", "b")
 
 
 def text_of(seed: int, n: int) -> str:
@@ -77,12 +77,89 @@ def operators(labels):
 NAMES = sorted(operators(None))
 
 
+def size_of(text) -> int:
+    return len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+
+
+def alike(rows, key, *values) -> bool:
+    """Whether rows with one key have the same values."""
+    return len({tuple(r[k] for k in key) for r in rows}) == len({tuple(r[k] for k in (*key, *values)) for r in rows})
+
+
+def check_mixing(rows, own):
+    copies = collections.Counter((r["doc_id"], r["text"]) for r in own)
+    taken = collections.Counter((r["doc_id"], r["text"]) for r in rows)
+    # Documents without words are never taken, none more than three times; both rows of a repeated document are taken alike.
+    assert all(size_of(t) for _, t in taken) and all(n <= 3 * copies[k] and n % copies[k] == 0 for k, n in taken.items())
+
+
+def check_lines(rows, own):
+    assert len(rows) == len(own) and alike(rows, ("doc_id", "n_chars"), "text", "n_removed")
+    by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
+    assert by_id[20]["text"] is None and by_id[21]["text"] == "" and by_id[22]["text"] == "one two" and by_id[25]["text"] == own_text(own, 25)
+    # Text 3 also stands under a null id, which comes first; 12 has a text of 5's, which comes before it. Repeats of a document are no repeats.
+    assert by_id[3]["n_removed"] == by_id[3]["n_lines"] > 0 and by_id[12]["n_removed"] == by_id[12]["n_lines"] > 0
+    assert all(by_id[k]["n_removed"] == 0 and by_id[k]["text"] == own_text(own, k) for k in (0, 1, 5, 20, 21, 22, 24, 25))
+
+
+def own_text(own, doc_id):
+    return next(r["text"] for r in own if r["doc_id"] == doc_id)
+
+
+def check_classifier(rows, own):
+    assert len(rows) == len(own) and alike(rows, ("doc_id", "text"), "gumbel_key", "kept")
+    assert all(r["log_weight"] == 0 for r in rows if not r["text"])
+    # 7 of 10 usable labels of known or null ids are good, 8 with those of unknown ones: ties stay together.
+    assert 0 < sum(r["kept"] for r in rows) < len(rows)
+    least = min(r["gumbel_key"] for r in rows if r["kept"])
+    assert all(r["kept"] == (r["gumbel_key"] >= least) for r in rows)
+
+
+def check_packing(rows, own):
+    pieces = collections.defaultdict(int)
+    for r in rows:
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces[20] == 1 and pieces[21] == 1 and {r["doc_id"] for r in rows} == {r["doc_id"] for r in own}
+    assert all(r["length"] <= 2048 for r in rows) and sum(r["doc_id"] == 23 for r in rows) > 10
+
+
+def check_rules(rows, own):
+    assert len(rows) == len(own) and alike(rows, ("doc_id", "text"), "n_words", "kept")
+    assert all(r["n_words"] == size_of(r["text"]) and r["base_failed"] >= (r["n_words"] < 50) and r["kept"] <= (not r["base_failed"]) for r in rows)
+    assert next(r for r in rows if r["doc_id"] == 24)["word_chars"] == 300_000
+
+
+def check_sharding(rows, own):
+    assert len(rows) == len(own) and alike(rows, ("doc_id", "text"), "virtual_slot", "shard")
+    assert all(r["size"] == len((r["text"] or "").encode()) + 16 for r in rows)
+    for shard in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+
+
+def check_near(rows, own):
+    kept = collections.Counter((r["doc_id"], bool(r["text"])) for r in rows)
+    # 3's text under a null id and 5's under 12 go; of repeated rows one stays; texts without words are near nothing.
+    assert kept == {(k, True): 1 for k in (*range(12), 22, 23, 24, 25)} | {(20, False): 1, (21, False): 1, (None, False): 1}
+
+
+def check_warc(rows, own):
+    assert len(rows) == len(own)
+    assert all(r["payload_digest"] == hashlib.sha256((r["payload"]).encode()).hexdigest() and r["payload_bytes"] == len(r["payload"].encode()) for r in rows)
+    revisits = {r["page_id"]: r["refers_to"] for r in rows if r["refers_to"] is not None}
+    assert revisits == {None: 3, 12: 5}
+
+
+CHECKS = dict(zip(("mixing", "line dedup", "classifier", "packing", "rules", "sharding", "near duplicates", "warc"), (check_mixing, check_lines, check_classifier, check_packing, check_rules, check_sharding, check_near, check_warc)))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_awkward_rows_and_clashing_columns(docs, labels, name):
-    more = docs.withColumns({c: F.lit(1).cast("long") for c in CLASH})
+    more = docs.withColumns({c: F.lit(-7).cast("long") for c in CLASH}).withColumn("further", F.lit("kept"))
     out = operators(labels)[name](more)
-    assert len(out.collect()) > 0
+    rows = [r.asDict() for r in out.collect()]
     assert len(set(out.columns)) == len(out.columns)
+    assert name in ("packing", "warc") or all(r["further"] == "kept" and r["host"] == -7 for r in rows)
+    CHECKS[name](rows, [r.asDict() for r in docs.collect()])
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -282,6 +359,15 @@ def test_embeddings_brute_force(spark):
             assert r.kept == (r.component_id == r.vec_id)
 
 
+def test_embeddings_empty_and_clashing(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i % 2)]) for i in range(6)], "vec_id long, embedding array<double>")
+    more = rows.withColumns({c: F.lit(-7) for c in ("node", "links", "n_links", "component_id", "kept", "copies", "first_id", "label")})
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(more).collect()}
+    assert got == {i: (2, i % 2, i < 2) for i in range(6)}
+    assert embedding_dedup.near_duplicates(rows.limit(0)).collect() == []
+    assert embedding_dedup.near_duplicates(rows.withColumn("embedding", F.lit(None).cast("array<float>"))).where("kept and n_links = 0").count() == 6
+
+
 # 5. Packing.
 
 
@@ -483,10 +569,10 @@ def test_sieve(spark):
     wanted = spark.range(0, 5000).select((F.col("id") * 7919 - 1000).alias("k"))
     rows = spark.range(0, 200_000).select((F.col("id") - 100_000).alias("k"))
     out = common.sifted(rows, F.col("k"), wanted.select("k"))
-    kept = {r["k"] for r in out.where("may").collect()}
+    kept = {r["k"] for r in out.where("__may").collect()}
     assert {r["k"] for r in wanted.join(rows, "k", "left_semi").collect()} <= kept
     assert len(kept) < 2000 and out.count() == 200_000
-    assert common.sifted(rows, F.col("k"), wanted.limit(0)).where("may").count() == 0
+    assert common.sifted(rows, F.col("k"), wanted.limit(0)).where("__may").count() == 0
 
 
 def test_components(spark):
@@ -518,6 +604,18 @@ def test_as_of_join(spark):
     assert url_filters.block(c.limit(0), e).count() == 0 and url_filters.block(c, e.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filters_clashing_names(spark):
+    e = spark.createDataFrame([("a.org", "add", "2024-01-02")], "domain string, action string, dated string").withColumn("dated", F.col("dated").cast("timestamp"))
+    long = "http://" + "x." * 2000 + "a.org/" + "y" * 100_000
+    c = spark.createDataFrame([(1, "http://a.org"), (1, "http://a.org"), (2, long), (3, ""), (4, "http://[2001:db8::1]:80/"), (5, None)], "page_id long, url string")
+    more = c.withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp")).withColumns({k: F.lit(-7) for k in ("host", "blocked", "matched_domain", "listed_since", "domain", "valid_from", "valid_to", "n", "may")})
+    out = url_filters.block(more, e)
+    assert len(set(out.columns)) == len(out.columns)
+    got = sorted((r["page_id"], r["blocked"], r["matched_domain"], r["domain"], r["n"]) for r in out.collect())
+    assert got == [(1, True, "a.org", -7, -7)] * 2 + [(2, True, "a.org", -7, -7)] + [(k, False, None, -7, -7) for k in (3, 4, 5)]
+    assert {r["page_id"]: r["host"] for r in out.collect()}[4] == "[2001:db8::1]"
+
+
 # The pipeline.
 
 
