@@ -5,6 +5,7 @@ from __future__ import annotations
 from leafmark.llm import (
     embedding_dedup,
     line_dedup,
+    merkle,
     minhash,
     mixing,
     packing,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_warc": warc.op8_query,
     "op9_minhash": minhash.op9_query,
     "op10_url_filters": url_filters.op10_query,
+    "op13_merkle": merkle.op13_query,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
+    "op13_merkle": merkle.OP13_SQL,
 }
