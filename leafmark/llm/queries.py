@@ -13,6 +13,7 @@ from leafmark.llm import (
     quality_rules,
     sharding,
     url_filters,
+    vector_codes,
     warc,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_warc": warc.op8_query,
     "op9_minhash": minhash.op9_query,
     "op10_url_filters": url_filters.op10_query,
+    "op12_vector_codes": vector_codes.op12_query,
     "op13_merkle": merkle.op13_query,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL = {
     "op6_quality_rules": quality_rules.OP6_SQL,
     "op8_warc": warc.OP8_SQL,
     "op10_url_filters": url_filters.OP10_SQL,
+    "op12_vector_codes": vector_codes.OP12_SQL,
     "op13_merkle": merkle.OP13_SQL,
 }
