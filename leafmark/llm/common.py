@@ -111,12 +111,17 @@ _UP, _DOWN = _powers(_BASE, _PIECE), _powers(pow(_BASE, -1, 1 << 64), _PIECE)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of a text's words, lower-cased, in order. Words are runs of anything but ASCII white space.
+    """64-bit hashes of a text's words, lower-cased, in order. Words are runs of anything but ASCII white space."""
+    return raw_word_hashes((text or "").lower().encode("utf-8", "surrogatepass"))
+
+
+def raw_word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text's UTF-8 bytes as they are.
 
     A word's hash comes from prefix sums of its bytes' random values times powers of an odd base, so the cost is
     a few array operations a byte. Long texts are hashed piece by piece, between words.
     """
-    raw = np.frombuffer((text or "").lower().encode("utf-8", "surrogatepass"), np.uint8)
+    raw = np.frombuffer(text, np.uint8)
     inside = np.empty(len(raw) + 2, bool)
     inside[0] = inside[-1] = False
     np.logical_not(_SPACE[raw], out=inside[1:-1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from leafmark.llm import (
     embedding_dedup,
+    language_model,
     line_dedup,
     merkle,
     minhash,
@@ -28,6 +29,7 @@ QUERIES = {
     "op8_warc": warc.op8_query,
     "op9_minhash": minhash.op9_query,
     "op10_url_filters": url_filters.op10_query,
+    "op11_language_model": language_model.op11_query,
     "op12_vector_codes": vector_codes.op12_query,
     "op13_merkle": merkle.op13_query,
 }
