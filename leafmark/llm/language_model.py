@@ -32,6 +32,7 @@ from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from leafmark.llm.common import materialize, mix64, raw_word_hashes, shared_dir,
 
 ORDER = 2
 #: Tokens that a task holds at once, entries that a shard is to have, and texts whose n-grams set the bounds.
-HELD = 1 << 21
+HELD = 1 << 20
 SHARD = 1 << 21
 SAMPLE = 2000
 #: Bits of an id that come from its prefix, so that n-grams of one prefix lie together.
@@ -101,7 +102,7 @@ PIECE_SQL = "rank int, shard int, kind string, data binary"
 
 
 def _pieces(rank: int, kind: str, bounds: np.ndarray, ids: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """One packed piece a shard: the columns, whose first is the sorted ids."""
+    """One packed piece a shard: its part of the columns, which are in order of the ids."""
     cuts = np.concatenate([[0], np.searchsorted(ids, bounds), [len(ids)]])
     for shard in np.flatnonzero(cuts[1:] > cuts[:-1]):
         low, high = cuts[shard], cuts[shard + 1]
@@ -118,7 +119,8 @@ def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
     return out
 
 
-GRAM_KINDS = ["<u8", "<u8", "<u8", "<u4"]
+#: Prefix, suffix and number of n-grams, whose ids follow from these.
+GRAM_KINDS = ["<u8", "<u8", "<u4"]
 #: Kinds of pieces about single ids, and which statistics each carries.
 ABOUT = {"raw": ("raw",), "before": ("before",), "after": ("total", "ones", "twos", "more")}
 
@@ -176,7 +178,7 @@ def _counted(docs: DataFrame, order: int, bounds: list[np.ndarray]) -> DataFrame
                 at = _runs(full)
                 n = np.diff(np.append(at, len(full))).astype("<u4")
                 first = by_id[at]
-                yield from _pieces(rank, "grams", bounds[rank - 1], full[at], [full[at], prefix[first], suffix[first], n])
+                yield from _pieces(rank, "grams", bounds[rank - 1], full[at], [prefix[first], suffix[first], n])
 
     return docs.select("text").mapInArrow(count, PIECE_SQL)
 
@@ -185,9 +187,9 @@ ARRAY_SQL = PIECE_SQL + ", file string, low decimal(20,0), entries long, counts
 
 
 def _merge_order(pieces: DataFrame, rank: int, order: int, bounds: list[np.ndarray], folder: str) -> DataFrame:
-    """Merge the pieces of one order into array files; rows of the files, and pieces for the order below.
+    """Merge the pieces of one order into array files; rows of the files, and pieces for the orders below.
 
-    pieces of lower orders are handed on as they are.
+    Pieces of lower orders pass through, so that texts are read once for all orders.
     """
     shards = len(bounds[rank - 1]) + 1
 
@@ -195,27 +197,41 @@ def _merge_order(pieces: DataFrame, rank: int, order: int, bounds: list[np.ndarr
         held: dict[str, list[bytes]] = {}
         shard = None
         for batch in batches:
-            for r in batch.to_pylist():
+            lower = batch.filter(pa.compute.less(batch.column("rank"), rank))
+            if lower.num_rows:
+                yield _widened(lower)
+            for r in batch.filter(pa.compute.equal(batch.column("rank"), rank)).to_pylist():
                 shard = r["shard"]
                 held.setdefault(r["kind"], []).append(r["data"])
         if shard is not None:
             yield from _written(held, rank, order, bounds, folder, shard)
 
-    own = pieces.where(F.col("rank") == rank).repartitionById(shards, "shard")
-    return own.mapInArrow(write, ARRAY_SQL)
+    # A task for each shard of this order; the numbers of lower orders' shards don't matter here.
+    return pieces.repartitionById(shards, F.pmod("shard", F.lit(shards))).mapInArrow(write, ARRAY_SQL)
+
+
+ARRAY = pa.schema([*PIECE, ("file", pa.string()), ("low", pa.decimal128(20, 0)), ("entries", pa.int64()), ("counts", pa.list_(pa.int64()))])
+
+
+def _widened(piece: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*piece.columns, *(pa.nulls(piece.num_rows, f.type) for f in list(ARRAY)[4:])], schema=ARRAY)
 
 
 def _written(held: dict[str, list[bytes]], rank: int, order: int, bounds: list[np.ndarray], folder: str, shard: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([*PIECE, ("file", pa.string()), ("low", pa.decimal128(20, 0)), ("entries", pa.int64()), ("counts", pa.list_(pa.int64()))])
     ids, stats = np.empty(0, "<u8"), {s: np.empty(0, np.int64) for s in STATS}
     prefix = suffix = None
     if "grams" in held:
         parts = [_unpacked(d, GRAM_KINDS) for d in held.pop("grams")]
-        every = [np.concatenate(c) for c in zip(*parts, strict=True)]
-        by_id = np.argsort(every[0], kind="stable")
-        at = _runs(every[0][by_id])
-        ids, prefix, suffix = (c[by_id][at] for c in every[:3])
-        stats = {s: np.zeros(len(ids), np.int64) for s in STATS} | {"raw": np.add.reduceat(every[3][by_id].astype(np.int64), at)}
+        prefix, suffix, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        del parts
+        every = joined_ids(prefix, suffix)
+        by_id = np.argsort(every, kind="stable")
+        at = _runs(every[by_id])
+        n = np.add.reduceat(n[by_id].astype(np.int64), at)
+        by_id = by_id[at]
+        ids, prefix, suffix = every[by_id], prefix[by_id], suffix[by_id]
+        none = np.zeros(len(ids), np.int64)
+        stats = dict.fromkeys(STATS, none) | {"raw": n}
     if held:  # what is known of single ids, from the order above
         all_ids, columns = [ids], {s: [stats[s]] for s in STATS}
         for kind, blobs in held.items():
@@ -243,8 +259,7 @@ def _written(held: dict[str, list[bytes]], rank: int, order: int, bounds: list[n
         below.append(_pieces(rank - 1, "before", bounds[rank - 2], s, [s, n.astype("<i8")]))
         for pieces in below:
             for piece in pieces:
-                nulls = [pa.nulls(1, f.type) for f in list(schema)[4:]]
-                yield pa.RecordBatch.from_arrays([*piece.columns, *nulls], schema=schema)
+                yield _widened(piece)
     # ids, adjusted counts; below the highest order also what follows the id, and at the lowest raw counts.
     kept = [ids.astype("<u8"), adjusted.astype("<f4")]
     if rank < order:
@@ -261,7 +276,7 @@ def _written(held: dict[str, list[bytes]], rank: int, order: int, bounds: list[n
     sums = [int(adjusted.sum()), int((adjusted > 0).sum()), int(stats["raw"].sum()), int((stats["raw"] > 0).sum())]
     low = Decimal(int(ids[0]) if len(ids) else 0)
     yield pa.RecordBatch.from_arrays(
-        [pa.array([rank], pa.int32()), pa.array([shard], pa.int32()), pa.array(["file"]), pa.nulls(1, pa.binary()), pa.array([name]), pa.array([low], pa.decimal128(20, 0)), pa.array([len(ids)], pa.int64()), pa.array([of_counts + sums], pa.list_(pa.int64()))], schema=schema
+        [pa.array([rank], pa.int32()), pa.array([shard], pa.int32()), pa.array(["file"]), pa.nulls(1, pa.binary()), pa.array([name]), pa.array([low], pa.decimal128(20, 0)), pa.array([len(ids)], pa.int64()), pa.array([of_counts + sums], pa.list_(pa.int64()))], schema=ARRAY
     )
 
 
@@ -376,8 +391,6 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     tables, every_discount, lowest, words, tokens = [], [], (0, (0, 0, 0)), 0, 0
     with small_batches(spark, 64):
         pieces = _counted(docs, order, bounds)
-        if order > 1:  # lower orders' own n-grams are needed again for each of them
-            pieces = materialize(pieces)
         for rank in range(order, 0, -1):
             written = materialize(_merge_order(pieces, rank, order, bounds, folder))
             files = sorted(written.where("kind = 'file'").select("file", "low", "entries", "counts").collect(), key=lambda r: int(r["low"]))
@@ -390,7 +403,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
                 lowest = (counts[4], (counts[0], counts[1], counts[5] - counts[0] - counts[1]))
                 tokens, words = counts[6], counts[7]
             else:
-                pieces = pieces.where(F.col("rank") < rank).unionByName(written.where("kind <> 'file'").select("rank", "shard", "kind", "data"))
+                pieces = written.where("kind <> 'file'").select("rank", "shard", "kind", "data")
     return Model(order, tables[::-1], every_discount[::-1], lowest, words, tokens)
 
 
