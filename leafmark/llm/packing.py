@@ -12,7 +12,7 @@ matter as there is no key. A sequence_id is made of the partition and a running
 depends on how the input is partitioned, as the packing does; each is the same whenever a task is repeated.
 
 Cases: a null or empty text is just its end mark; repeated rows are packed once each; null doc_ids pass; an empty
-table gives no pieces. Very long texts become full windows and a few pieces. Further columns are ignored.
+table gives no pieces. Very long texts become full windows and a few pieces, whatever runs of blanks they hold. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +42,22 @@ END = 1
 _encoders: dict[str, object] = {}
 
 
+def _place(vocabulary: str, kind: str) -> str:
+    import public_tokenizers
+
+    return f"{vocabulary}.{kind}" if os.sep in vocabulary else public_tokenizers.path(f"{vocabulary}.{kind}")
+
+
+def slow_encoder(vocabulary: str):
+    """The JSON file's own library: slower, but without a limit on runs of blanks."""
+    key = f"{vocabulary}.json"
+    if key not in _encoders:
+        from tokenizers import Tokenizer
+
+        _encoders[key] = Tokenizer.from_file(_place(vocabulary, "json"))
+    return _encoders[key]
+
+
 def encoder(vocabulary: str):
     """The byte-level BPE of a public vocabulary, with the added tokens of its JSON file.
 
@@ -53,10 +69,9 @@ def encoder(vocabulary: str):
         import public_tokenizers
         import tiktoken
 
-        find = (lambda kind: public_tokenizers.path(f"{vocabulary}.{kind}")) if os.sep not in vocabulary else (lambda kind: f"{vocabulary}.{kind}")
-        with open(find("tiktoken"), "rb") as lines:
+        with open(_place(vocabulary, "tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
-        with open(find("json"), encoding="utf-8") as file:
+        with open(_place(vocabulary, "json"), encoding="utf-8") as file:
             added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
         _encoders[vocabulary] = tiktoken.Encoding(os.path.basename(vocabulary), pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _encoders[vocabulary]
@@ -64,7 +79,10 @@ def encoder(vocabulary: str):
 
 def token_ids(text: str | None, vocabulary: str, end: int = END) -> np.ndarray:
     """Ids of the whole text, then the end mark."""
-    ids = encoder(vocabulary).encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.empty(0, np.uint32)
+    try:
+        ids = encoder(vocabulary).encode_to_numpy(text, allowed_special="all", disallowed_special=()) if text else np.empty(0, np.uint32)
+    except ValueError:  # its pattern gives up on runs of a million blanks or so
+        ids = np.array(slow_encoder(vocabulary).encode(text, add_special_tokens=False).ids)
     return np.append(ids.astype("<u4"), np.array([end], "<u4"))
 
 

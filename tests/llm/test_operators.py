@@ -396,6 +396,17 @@ def test_packing_round_trip(docs):
     assert made == want
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n"])
+def test_very_long_runs_of_blanks_pack(spark, blank):
+    texts = [blank * 2_000_000, "abc" + blank * 1_000_000 + "def <|endoftext|> x", "a b"]
+    own = packing.slow_encoder(packing.VOCABULARY)
+    want = [[*own.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=False).collect()
+    for i, ids in enumerate(want):
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == i)
+        assert [zlib.crc32(np.array(ids[s : s + n], "<u4").tobytes()) for s, n, _ in pieces] == [c for *_, c in pieces] and sum(n for _, n, _ in pieces) == len(ids)
+
+
 def test_packing_is_tight(sf_docs):
     out = packing.pack(sf_docs.coalesce(1), with_ids=False).toPandas()
     filled = out.groupby("sequence_id")["length"].sum()
