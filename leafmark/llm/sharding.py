@@ -2,8 +2,8 @@
 
 Every record is hashed into one of SLOTS virtual slots, whose number never changes. Bytes and rows are
 aggregated per slot, and a versioned map says which shard holds each slot. A first map deals slots, largest first, to the
-shard with the fewest bytes; rebalancing edits the newest version and adds another, moving as few bytes as
-level the shards. Records themselves are only moved where their slot's entry changes.
+shard with the fewest bytes; rebalancing edits the newest version and adds another, moving little more than the bytes that
+shards have too many. Records themselves are only moved where their slot's entry changes.
 
 The map has SLOTS rows whatever the corpus is, so it is made on the driver and broadcast. A record's place in its
 shard is the place of its slot there plus its place in the slot, so no task orders a whole shard.
@@ -16,6 +16,7 @@ assign(); those named like a result are replaced.
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -26,6 +27,8 @@ from leafmark.llm.common import materialize, shared_dir
 SLOTS = 8192
 SHARDS = 40
 OVERHEAD = 16
+#: How far a shard may be from the mean after the query's edit of the map.
+TOLERANCE = 0.001
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long, rows long"
 
 
@@ -63,37 +66,44 @@ def deal(sizes: list[tuple[int, int]], shards: int) -> list[int]:
 def rebalance(shard_of: list[int], sizes: list[tuple[int, int]], shards: int, tolerance: float = 0.01) -> list[int]:
     """The map edited for new sizes or another number of shards.
 
-    Slots of dropped shards, and then the largest that fit from shards above the mean, go to the shard with
-    the fewest bytes, until none is above the mean by more than the tolerance or nothing fits. All other slots stay.
+    Slots of dropped shards go, largest first, to the shard with the fewest bytes. Then the fullest shard gives the emptiest the slot that
+    comes nearest to what the one has too much or the other too little, until both are within the tolerance of the mean or no slot
+    brings them closer. All other slots stay.
     """
     out, held = list(shard_of), [0] * shards
-    owned: list[list[int]] = [[] for _ in range(shards)]
+    owned: list[list[tuple[int, int]]] = [[] for _ in range(shards)]
     homeless = []
     for slot, shard in enumerate(out):
         if shard < shards:
             held[shard] += sizes[slot][0]
-            owned[shard].append(slot)
+            owned[shard].append((sizes[slot][0], slot))
         else:
             homeless.append(slot)
+    for slots in owned:
+        slots.sort()
     mean = sum(s for s, _ in sizes) / shards
 
-    def give(slot: int) -> None:
-        to = min(range(shards), key=lambda x: (held[x], x))
+    def give(slot: int, to: int) -> None:
         out[slot] = to
         held[to] += sizes[slot][0]
-        owned[to].append(slot)
+        bisect.insort(owned[to], (sizes[slot][0], slot))
 
     for slot in sorted(homeless, key=lambda i: (-sizes[i][0], i)):
-        give(slot)
-    for shard in sorted(range(shards), key=lambda x: (-held[x], x)):
-        for slot in sorted(owned[shard], key=lambda i: (-sizes[i][0], i)):
-            if held[shard] <= mean * (1 + tolerance):
-                break
-            least = min(held)
-            if 0 < sizes[slot][0] <= held[shard] - mean and least + sizes[slot][0] <= mean * (1 + tolerance):
-                held[shard] -= sizes[slot][0]
-                owned[shard].remove(slot)
-                give(slot)
+        give(slot, min(range(shards), key=lambda x: (held[x], x)))
+    while shards > 1:
+        full, least = max(range(shards), key=lambda x: (held[x], -x)), min(range(shards), key=lambda x: (held[x], x))
+        if held[full] - mean <= tolerance * mean and mean - held[least] <= tolerance * mean:
+            break
+        wanted = min(held[full] - mean, mean - held[least])
+        at = bisect.bisect_left(owned[full], (wanted, -1))
+        # A slot smaller than the difference of the two brings them closer, whatever it is.
+        near = [e for e in owned[full][max(0, at - 1) : at + 1] if 0 < e[0] < held[full] - held[least]]
+        if not near:
+            break
+        size, slot = min(near, key=lambda e: (abs(e[0] - wanted), e))
+        owned[full].remove((size, slot))
+        held[full] -= size
+        give(slot, least)
     return out
 
 
@@ -139,8 +149,9 @@ def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = materialize(with_slot(docs).select("doc_id", "size", "text_crc32", "virtual_slot"))
     sizes = slot_sizes(records)
     path = shared_dir(spark)
-    first = deal(sizes, SHARDS)
-    for version, shard_of in ((1, first), (2, rebalance(first, sizes, SHARDS))):
+    # The map of a time with one shard less, dealt by rows as sizes in bytes were not known then; it is edited for another shard and these sizes.
+    first = deal([(rows, rows) for _, rows in sizes], SHARDS - 1)
+    for version, shard_of in ((1, first), (2, rebalance(first, sizes, SHARDS, TOLERANCE))):
         save_map(map_table(spark, version, shard_of, sizes), path)
     return assign(records, load_map(spark, path)).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"

@@ -725,11 +725,21 @@ def test_minhash_recall_on_long_texts(spark):
 
 
 def test_records_follow_the_newest_stored_map(spark, monkeypatch):
-    paths, edit = [], sharding.rebalance
-    load = sharding.load_map
-    monkeypatch.setattr(sharding, "rebalance", lambda *a: [sharding.SHARDS - 1 - shard for shard in edit(*a)])
+    paths, load = [], sharding.load_map
     monkeypatch.setattr(sharding, "load_map", lambda s, path, *a: load(s, paths.append(path) or path, *a))
-    out = sharding.op7_query(spark, SF).select("virtual_slot", "shard").distinct().collect()
-    first, newest = ({r["virtual_slot"]: r["shard"] for r in load(spark, paths[0], v).collect()} for v in (1, None))
-    assert len(first) == sharding.SLOTS and first != newest
-    assert out and all(newest[r["virtual_slot"]] == r["shard"] for r in out)
+    out = sharding.op7_query(spark, SF.replace("0.001", "0.01")).toPandas()
+    maps = [{r["virtual_slot"]: r for r in load(spark, paths[0], v).collect()} for v in (1, None)]
+    first, newest = ({k: r["shard"] for k, r in m.items()} for m in maps)
+    assert len(first) == len(newest) == sharding.SLOTS and set(first.values()) == set(range(39)) and set(newest.values()) == set(range(40))
+    assert all(newest[r.virtual_slot] == r.shard for r in out.itertuples())
+    size = {k: r["bytes"] for k, r in maps[0].items()}
+    assert sum(size.values()) == out["size"].sum()
+    held = collections.Counter()
+    for slot, shard in first.items():
+        held[shard] += size[slot]
+    mean = sum(size.values()) / 40
+    least = sum(max(0, b - mean) for b in held.values())
+    moved = sum(size[k] for k in size if first[k] != newest[k])
+    assert least <= moved + 40 * 0.001 * mean and moved <= 1.3 * least
+    by = out.groupby("shard")["size"].sum()
+    assert by.max() <= 1.005 * mean and by.min() >= 0.995 * mean
