@@ -1,7 +1,8 @@
 """WARC archives as a chunked record table.
 
 Writing: every task streams its pages into gzip archives, one member a record, in a folder that all
-machines share. A payload is encoded, compressed and hashed chunk by chunk. A table lists the archives that
+machines share. A payload reaches the task in its row's Arrow buffer and is compressed from there slice by slice, so that
+cost is linear in its bytes and nothing as large as a record is made besides; payloads of revisits are not sent. A table lists the archives that
 successful tasks have written; files of failed attempts are never in it. Of pages with equal payloads of at
 least MIN_REVISIT bytes, that with the smallest page_id is a response and the others revisit it; roles come
 from digests, which is all that is shuffled to find them.
@@ -11,7 +12,7 @@ payload so far. The last chunk of a record carries its whole digest, so nothing
 record is held in memory, however large.
 
 Cases: a null payload is an empty one; payloads under MIN_REVISIT bytes are always responses; rows that repeat a
-page_id and payload are all responses if they hold the smallest id, else all revisits; a null page_id counts as
+page_id and payload are all responses if they hold the smallest id, else all revisits, with record ids of their own; a null page_id counts as
 larger than any other, and equal payloads that only have null ids are all responses. Further columns are ignored.
 """
 
@@ -22,7 +23,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,13 +54,14 @@ def with_roles(pages: DataFrame) -> DataFrame:
     return rows.where("not __may").drop("__may").withColumn("refers_to", F.lit(None).cast("long")).unionByName(met)
 
 
-def chunk_rows(described: DataFrame, size: int = CHUNK) -> DataFrame:
-    """A row for every chunk of a record's payload, in order and next to each other; revisits and empty payloads have one without data."""
-    step = max(1, size // 4)
-    chunks = F.when(F.col("refers_to").isNotNull(), 1).otherwise(F.greatest(F.lit(1), F.ceil(F.length("payload") / step))).cast("int")
-    piece = lambda k: F.when(F.col("refers_to").isNull(), F.substr("payload", k * step + 1, F.lit(step)))
-    meta = ["page_id", "url", "payload_bytes", "payload_digest", "refers_to"]
-    return described.select(*meta, chunks.alias("chunks"), F.posexplode(F.transform(F.sequence(F.lit(0), chunks - 1), piece)).alias("chunk_no", "data"))
+def slices(column: pa.Array, i: int, size: int = CHUNK) -> Iterator[memoryview]:
+    """The bytes of one value of a string column, a slice of its buffer at a time, without a copy."""
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    start, end = map(int, np.frombuffer(offsets, wide, column.offset + len(column) + 1)[column.offset + i : column.offset + i + 2])
+    whole = memoryview(data)[start:end] if data is not None else memoryview(b"")
+    for at in range(0, len(whole), size):
+        yield whole[at : at + size]
 
 
 def _open(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -69,7 +73,7 @@ def _head(page: dict, record_type: str, http_bytes: int) -> bytes:
     lines = [
         "WARC/1.1",
         f"WARC-Type: {record_type}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page["page_id"]}:{page["payload_digest"]}')}>",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>",
         "WARC-Date: 2024-01-01T00:00:00Z",
         f"WARC-Target-URI: {(page['url'] or '').encode('ascii', 'backslashreplace').decode().replace(chr(13), ' ').replace(chr(10), ' ')}",
         f"WARC-Payload-Digest: sha256:{page['payload_digest']}",
@@ -84,45 +88,42 @@ def _head(page: dict, record_type: str, http_bytes: int) -> bytes:
 
 
 def write_archives(described: DataFrame, folder: str) -> DataFrame:
-    """Write records below folder; the written table of archives: archive, records, bytes.
+    """Write records below folder, a gzip member each; the written table of archives: archive, records, bytes."""
 
-    Payloads reach Python as chunk rows, so no record is ever whole there; a record's chunks are one gzip member.
-    """
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(folder)
         fs.create_dir(root, recursive=True)
-        out, packer, made = None, None, []
+        out, made = None, []
 
         def put(data: bytes) -> None:
             made[-1][2] += out.write(data)
 
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                if row.chunk_no == 0:
-                    page = {k: None if v is None or v is pd.NA or v != v else v for k, v in row._asdict().items() if k != "data"}
-                    for k in ("page_id", "refers_to"):
-                        page[k] = None if page[k] is None else int(page[k])
-                    if out is not None and made[-1][2] >= ARCHIVE_BYTES:
-                        out.close()
-                        out = None
-                    if out is None:
-                        made.append([f"part-{uuid.uuid4().hex}.warc.gz", 0, 0])
-                        out = fs.open_output_stream(f"{root}/{made[-1][0]}", compression=None)
-                    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['payload_bytes']}\r\n\r\n".encode()
-                    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-                    put(packer.compress(_head(page, "response" if page["refers_to"] is None else "revisit", len(http)) + http))
-                if row.data:
-                    put(packer.compress(row.data.encode("utf-8", "replace")))
-                if row.chunk_no == row.chunks - 1:
-                    put(packer.compress(b"\r\n\r\n") + packer.flush())
-                    made[-1][1] += 1
+        for batch in batches:
+            payloads = batch.column("payload")
+            for i, page in enumerate(batch.drop_columns(["payload"]).to_pylist()):
+                if out is not None and made[-1][2] >= ARCHIVE_BYTES:
+                    out.close()
+                    out = None
+                if out is None:
+                    made.append([f"part-{uuid.uuid4().hex}.warc.gz", 0, 0])
+                    out = fs.open_output_stream(f"{root}/{made[-1][0]}", compression=None)
+                http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {page['payload_bytes']}\r\n\r\n".encode()
+                packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+                put(packer.compress(_head(page, "response" if page["refers_to"] is None else "revisit", len(http)) + http))
+                if page["refers_to"] is None:
+                    for piece in slices(payloads, i):
+                        put(packer.compress(piece))
+                put(packer.compress(b"\r\n\r\n") + packer.flush())
+                made[-1][1] += 1
         if out is not None:
             out.close()
-        yield pd.DataFrame(made, columns=["archive", "records", "bytes"])
+        names, records, sizes = zip(*made, strict=True) if made else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(records, pa.int64()), pa.array(sizes, pa.int64())], ["archive", "records", "bytes"])
 
+    sent = described.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    columns = ("page_id", "url", "payload_bytes", "payload_digest", "refers_to", "payload")
     with small_batches(described.sparkSession, 500):
-        return materialize(chunk_rows(described).mapInPandas(write, "archive string, records long, bytes long"))
+        return materialize(sent.select(*columns).mapInArrow(write, "archive string, records long, bytes long"))
 
 
 def _members(stream, size: int = CHUNK) -> Iterator[tuple[bool, bytes]]:

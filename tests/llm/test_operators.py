@@ -514,6 +514,44 @@ def test_warc_duplicates_match_sql(spark, duck, tmp_path):
     assert plain(got).equals(plain(duck.sql(sql).df())) and (got["record_type"] == "revisit").sum() >= 50
 
 
+def test_warc_repeated_rows_and_clashing_columns(spark, tmp_path):
+    rows = [(1, "u", "z" * 150, 5)] * 3 + [(2, "u", "z" * 150, 5)] * 2 + [(3, "u", "s", 5)] * 2 + [(None, None, None, 5)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload long").withColumns({c: F.lit("x") for c in ("archive", "record_id", "refers_to", "chunk_no", "records", "may")})
+    folder = str(tmp_path / "warc")
+    chunks = warc.read_archives(warc.write_archives(warc.with_roles(pages), folder), folder).collect()
+    ends = [r for r in chunks if r["last"]]
+    assert len(ends) == len(rows) == len({r["record_id"] for r in chunks}) and all(r["intact"] for r in ends)
+    kinds = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_so_far"]) for r in ends)
+    assert kinds == {(1, "response", None, 150): 3, (2, "revisit", 1, 150): 2, (3, "response", None, 1): 2, (None, "response", None, 0): 2}
+
+
+def test_slices_are_the_payload_without_copies():
+    import pyarrow as pa
+
+    values = ["é" * 1000, None, "", "x" * 5000, "last"]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["first", *values], kind)[1:]
+        for i, v in enumerate(values):
+            parts = list(warc.slices(column, i, 700))
+            assert b"".join(parts) == (v or "").encode() and all(len(p) == 700 for p in parts[:-1]) and all(isinstance(p, memoryview) for p in parts)
+
+
+def test_archives_take_time_linear_in_a_record(spark, tmp_path):
+    """A record of four times the bytes takes no more than eight times the time, start included."""
+    import time
+
+    took = []
+    for k, mb in enumerate((16, 16, 64)):  # the first warms up
+        page = spark.range(1).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("<p>é word</p>\n"), mb * 65536).alias("html"))
+        start = time.perf_counter()
+        table = warc.write_archives(warc.with_roles(page), str(tmp_path / f"w{k}"))
+        took.append(time.perf_counter() - start)
+        if mb == 64:
+            last = warc.sound(warc.read_archives(table, str(tmp_path / f"w{k}"), with_data=False)).collect()
+            assert len(last) == 1 and last[0]["payload_so_far"] == mb * 65536 * 15
+    assert took[2] < 8 * took[1]
+
+
 # 9. Near duplicates.
 
 
