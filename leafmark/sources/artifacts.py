@@ -2,28 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Two traps of old files: codes as a list or as text, and grades as numbers or text. Both are read as text.
-METADATA = "submission_id string, original_filename string, byte_size long, created_at string"
-STRUCTURED = "student_name string, school_name string, grade string, word_count int"
-OCR = "text string, confidence_avg double, confidence_min double, low_conf_page_count int"
-VALIDATION = "needs_review boolean, review_reason_codes string, doc_type string"
+from leafmark.operators import review
+from leafmark.sources.folders import ArtifactFolders
+
+#: Two traps of old files: codes as a list or as text, and grades as numbers or text. Both are read as text. Keys that are not named here, private
+#: ones among them, are dropped.
+PARTS = {
+    "metadata.json": "submission_id string, original_filename string, byte_size long, created_at string",
+    "structured.json": "student_name string, school_name string, grade string, word_count long, doc_type string, format string, extraction_method string",
+    "ocr.json": "text string, confidence_avg double, confidence_min double, low_conf_page_count int",
+    "validation.json": "needs_review boolean, review_reason_codes string",
+}
+#: What a folder should hold; either name of the original will do.
+ORIGINALS = ("original.pdf", "original.jpg")
+REQUIRED = ("metadata.json", "ocr.json", "raw_text.txt", "contact_block.txt", "essay_block.txt", "structured.json", "validation.json")
+#: Bytes of a folder that are fewer or more than usual.
+LEAST, MOST = 10 * 1024, 2 * 1024 * 1024
+
+
+def folders(spark: SparkSession, root: str, names: tuple[str, ...] = ()) -> DataFrame:
+    """(folder, files) of all artifact folders; contents of files of these names only."""
+    spark.dataSource.register(ArtifactFolders)
+    return spark.read.format("artifact_folders").option("names", ",".join(names)).load(root)
+
+
+def write_folders(files: DataFrame, root: str) -> None:
+    """Files (folder, name, body) under their own names. A folder's files are written by one task."""
+    files.sparkSession.dataSource.register(ArtifactFolders)
+    files.select("folder", "name", "body").repartition("folder").write.format("artifact_folders").mode("append").save(root)
+
+
+def _body(name: str) -> Column:
+    """Contents of a folder's file of this name; null if it isn't there."""
+    return F.get(F.filter("files", lambda f: f["name"] == name), F.lit(0))["body"]
+
+
+def _broken(body: Column) -> Column:
+    """Whether contents are there that are no JSON."""
+    return body.isNotNull() & F.try_parse_json(body).isNull()
 
 
-def _folder_json(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema + ", _corrupt_record string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
-    return rows.withColumn("folder", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1))
+def artifact_records(spark: SparkSession, root: str) -> DataFrame:
+    """A row for each folder with its status and what its files say.
+
+    skipped: no metadata or no structured fields; error: a file of the four that is no JSON; imported otherwise, with the folder's name for an id
+    that isn't given, `unknown` for a file name and 0 words.
+    """
+    rows = folders(spark, root, tuple(PARTS)).select("folder", *[_body(n).alias(f"__{n[:-5]}") for n in PARTS])
+    broken = reduce(lambda a, b: a | b, [_broken(F.col(f"__{n[:-5]}")) for n in PARTS])
+    status = F.when(F.col("__metadata").isNull() | (F.col("__structured").isNull() & ~_broken(F.col("__metadata"))), "skipped").when(broken, "error").otherwise("imported")
+    parsed = rows.withColumn("status", status).select("folder", "status", *[F.from_json(f"__{n[:-5]}", schema).alias(n[:-5]) for n, schema in PARTS.items()])
+    codes = F.regexp_replace(F.regexp_replace("validation.review_reason_codes", r'[\[\]" ]', ""), ",", ";")
+    return parsed.select(
+        "folder",
+        "status",
+        F.coalesce(F.nullif("metadata.submission_id", F.lit("")), "folder").alias("submission_id"),
+        F.coalesce("metadata.original_filename", F.lit("unknown")).alias("filename"),
+        "metadata.byte_size",
+        "metadata.created_at",
+        *[F.col(f"structured.{c}").alias(c) for c in ("student_name", "school_name", "grade", "doc_type", "format", "extraction_method")],
+        F.coalesce("structured.word_count", F.lit(0)).alias("word_count"),
+        "ocr.text",
+        F.col("ocr.confidence_avg").alias("ocr_confidence_avg"),
+        codes.alias("review_reason_codes"),
+    )
 
 
 def import_artifacts(spark: SparkSession, root: str) -> DataFrame:
-    """One record per folder that holds metadata and structured fields; recognition and validation if there."""
-    files = {name: _folder_json(spark, root, f"{name}.json", schema) for name, schema in (("metadata", METADATA), ("structured", STRUCTURED), ("ocr", OCR), ("validation", VALIDATION))}
-    sound = {k: v.where("_corrupt_record is null").drop("_corrupt_record") for k, v in files.items()}
-    codes = F.regexp_replace("review_reason_codes", r'[\[\]" ]', "")
-    validation = sound["validation"].withColumn("review_reason_codes", F.regexp_replace(codes, ",", ";"))
-    return sound["metadata"].join(sound["structured"], "folder").join(sound["ocr"], "folder", "left").join(validation, "folder", "left")
+    """The records of folders that can be imported."""
+    return artifact_records(spark, root).where("status = 'imported'").drop("status")
+
+
+def reviewed_import(spark: SparkSession, root: str, reference: DataFrame) -> DataFrame:
+    """Imported records, validated anew; codes that a folder already holds stay. All of them await review."""
+    rows = import_artifacts(spark, root).withColumns({"is_chunk": F.lit(False), "is_container_parent": F.lit(False), "doc_class": F.lit(None).cast("string")})
+    checked = review.validate(rows.withColumn("doc_type", F.coalesce("doc_type", F.lit("unknown"))), reference)
+    return checked.withColumn("review_reason_codes", F.coalesce(F.nullif("review_reason_codes", F.lit("")), "codes")).withColumn("needs_review", F.lit(True))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -31,21 +90,31 @@ def write_jsonl(df: DataFrame, path: str) -> None:
 
 
 def pick_paths(spark: SparkSession, root: str, names: tuple[str, ...]) -> DataFrame:
-    """Paths below a folder whose file name is wanted. Contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    return files.where(F.regexp_extract("path", r"([^/]+)$", 1).isin(*names)).distinct()
-
-
-def artifact_health(spark: SparkSession, root: str, names: tuple[str, ...], least: int = 10_240, most: int = 2_097_152) -> DataFrame:
-    """Files of each folder: how many, bytes, missing names, empty ones, and whether the total is out of bounds."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    parts = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "length")
-    expected = F.array(*[F.lit(n) for n in names])
-    return (
-        parts.groupBy("folder")
-        .agg(F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count_if(F.col("length") == 0).alias("empty"), F.collect_set("name").alias("have"))
-        .select("folder", "files", "bytes", "empty", F.array_join(F.array_sort(F.array_except(expected, "have")), ",").alias("missing"), (~F.col("bytes").between(least, most)).alias("odd_size"))
-    )
+    """Paths below a folder that end with a wanted name, each once. Contents are not read."""
+    files = folders(spark, root).select(F.explode("files.path").alias("path"))
+    return files.where(reduce(lambda a, b: a | b, [F.endswith("path", F.lit(n)) for n in names])).distinct()
+
+
+def artifact_health(spark: SparkSession, root: str, names: tuple[str, ...] = REQUIRED, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """Of each folder: files, bytes, names that are missing, JSON files that are none, empty files, whether its size is unusual, and whether it is healthy.
+
+    Names are joined in order. An unusual size alone doesn't make a folder unhealthy.
+    """
+    have = folders(spark, root, tuple(PARTS)).withColumn("have", F.transform("files", lambda f: f["name"]))
+    original = F.when(~F.arrays_overlap("have", F.array(*map(F.lit, ORIGINALS))), F.lit("/".join(ORIGINALS))) if names == REQUIRED else F.lit(None)
+    missing = F.array_compact(F.array(original, *[F.when(~F.array_contains("have", n), n) for n in names]))
+    corrupted = F.array_compact(F.array(*[F.when(_broken(_body(n)), n) for n in sorted(PARTS)]))
+    empty = F.transform(F.filter("files", lambda f: f["size"] == 0), lambda f: f["name"])
+    size = F.aggregate("files", F.lit(0).cast("long"), lambda total, f: total + f["size"])
+    found = have.select("folder", F.size("files").cast("long").alias("files"), size.alias("bytes"), *[F.array_join(c, ",").alias(n) for n, c in (("missing", missing), ("corrupted", corrupted), ("empty", empty))])
+    odd = F.when(F.col("bytes") < least, "small").when(F.col("bytes") > most, "large")
+    return found.withColumn("odd_size", odd).withColumn("healthy", (F.col("missing") == "") & (F.col("corrupted") == "") & (F.col("empty") == ""))
+
+
+def health_summary(health: DataFrame) -> DataFrame:
+    """Totals over folders: how many, healthy ones, bytes, and those with each kind of fault."""
+    kinds = [F.count_if(F.col(c) != "").alias(c) for c in ("missing", "corrupted", "empty")]
+    return health.agg(F.count("*").alias("folders"), F.count_if("healthy").alias("healthy"), F.sum("bytes").alias("bytes"), *kinds, F.count("odd_size").alias("odd_size"))
 
 
 def read_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:

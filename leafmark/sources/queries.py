@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmark.operators import records
+from leafmark.functions import text
+from leafmark.operators import records, review
 from leafmark.plans import tables as T
 from leafmark.sources import artifacts
 from leafmark.sources.shared import drained, shared_dir
@@ -33,9 +34,94 @@ def _stream_logs(s, d):
     return drained(records.log_parse(lines).drop("doc_id"))
 
 
+def _artifact_files(s, d):
+    """(folder, name, body) of every submission's artifacts: some lack a file, some have one that breaks off or is empty."""
+    i = F.col("doc_id")
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    texts = T.read(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    subs = T.submissions(s, d).join(texts, "doc_id").withColumn("stored", F.when(i % 2 == 0, quoted("review_reason_codes")).otherwise(F.concat(F.lit('["'), F.replace("review_reason_codes", F.lit(";"), F.lit('", "')), F.lit('"]'))))
+    structured = [F.lit('{"_private": {"a": 1}, "word_count": '), F.col("word_count").cast("string")]
+    for c in ("student_name", "school_name", "grade", "doc_type", "format", "extraction_method"):
+        structured += [F.lit(f', "{c}": '), quoted(c)]
+    bodies = {
+        "metadata.json": (i % 11 != 5, F.concat(F.lit("{"), F.when(i % 7 != 2, F.concat(F.lit('"submission_id": '), quoted("submission_id"), F.lit(", "))).otherwise(""), F.lit('"original_filename": '), quoted("filename"), F.lit("}"))),
+        "structured.json": (i % 13 != 7, F.concat(*structured, F.lit("}"))),
+        "ocr.json": (i % 4 != 1, F.concat(F.lit('{"confidence_avg": '), F.col("ocr_confidence_avg").cast("string"), F.when(i % 17 != 3, "}").otherwise(""))),
+        "validation.json": (i % 3 != 2, F.concat(F.lit('{"review_reason_codes": '), F.col("stored"), F.lit("}"))),
+        "raw_text.txt": (i % 10 != 9, F.col("text")),
+        "essay_block.txt": (i >= 0, F.col("text")),
+        "contact_block.txt": (i >= 0, F.coalesce("student_name", F.lit(""))),
+        "original.pdf": (i % 3 == 0, F.lit("%PDF")),
+        "original.jpg": (i % 3 == 1, F.lit("JPEG")),
+    }
+    files = F.array(*[F.when(there, F.struct(F.lit(name).alias("name"), body.alias("body"))) for name, (there, body) in bodies.items()])
+    return subs.select(F.concat(F.lit("a-"), i.cast("string")).alias("folder"), F.inline(F.array_compact(files)))
+
+
+def _on_artifacts(operator):
+    """operator(spark, root) over folders that are written from the tables and read back."""
+
+    def run(s, d):
+        root = shared_dir(s)
+        artifacts.write_folders(_artifact_files(s, d), root)
+        return operator(s, root)
+
+    return run
+
+
+def _import(s, root):
+    reference = s.createDataFrame([(v,) for v in T.SCHOOLS.values()], "name string").where("name not like 'Ecole%'").select(text.norm_match(F.col("name")).alias("school_key"))
+    return artifacts.reviewed_import(s, root, reference).select("folder", "submission_id", "filename", "student_name", "school_name", "grade", "word_count", "ocr_confidence_avg", "review_reason_codes", "needs_review")
+
+
+_quoted = lambda c: f"""coalesce('"' || {c} || '"', 'null')"""
+_FILES = f"""held as (select s.*, coalesce(d.text, '') as body_text, 'a-' || s.doc_id as folder,
+  case when s.doc_id % 2 = 0 then {_quoted("review_reason_codes")} else '["' || replace(review_reason_codes, ';', '", "') || '"]' end as stored from submissions s join documents d using (doc_id)),
+files as (
+  select doc_id, folder, 'metadata.json' as name, '{{' || case when doc_id % 7 <> 2 then '"submission_id": ' || {_quoted("submission_id")} || ', ' else '' end || '"original_filename": ' || {_quoted("filename")} || '}}' as body from held where doc_id % 11 <> 5
+  union all select doc_id, folder, 'structured.json', '{{"_private": {{"a": 1}}, "word_count": ' || word_count || {" || ".join(f"""', "{c}": ' || {_quoted(c)}""" for c in ("student_name", "school_name", "grade", "doc_type", "format", "extraction_method"))} || '}}' from held where doc_id % 13 <> 7
+  union all select doc_id, folder, 'ocr.json', '{{"confidence_avg": ' || ocr_confidence_avg || case when doc_id % 17 <> 3 then '}}' else '' end from held where doc_id % 4 <> 1
+  union all select doc_id, folder, 'validation.json', '{{"review_reason_codes": ' || stored || '}}' from held where doc_id % 3 <> 2
+  union all select doc_id, folder, 'raw_text.txt', body_text from held where doc_id % 10 <> 9
+  union all select doc_id, folder, 'essay_block.txt', body_text from held
+  union all select doc_id, folder, 'contact_block.txt', coalesce(student_name, '') from held
+  union all select doc_id, folder, 'original.pdf', '%PDF' from held where doc_id % 3 = 0
+  union all select doc_id, folder, 'original.jpg', 'JPEG' from held where doc_id % 3 = 1)"""
+_HEALTH = f"""health as (select folder, count(*) as files, sum(strlen(body))::bigint as bytes,
+    concat_ws(',', case when count(*) filter (name in ('original.pdf', 'original.jpg')) = 0 then 'original.pdf/original.jpg' end, {", ".join(f"case when count(*) filter (name = '{n}') = 0 then '{n}' end" for n in artifacts.REQUIRED)}) as missing,
+    coalesce(string_agg(name, ',' order by name) filter (name like '%.json' and not json_valid(body)), '') as corrupted,
+    coalesce(string_agg(name, ',' order by name) filter (body = ''), '') as empty,
+    case when sum(strlen(body)) < {artifacts.LEAST} then 'small' when sum(strlen(body)) > {artifacts.MOST} then 'large' end as odd_size from files group by folder)"""
+_IMPORTED = """imported as (select folder, filename, case when doc_id % 7 = 2 then folder else submission_id end as submission_id, student_name, school_name, grade, word_count, doc_type, format, extraction_method,
+  case when doc_id % 4 <> 1 then ocr_confidence_avg end as ocr_confidence_avg, case when doc_id % 3 <> 2 then review_reason_codes end as kept, false as is_chunk, false as is_container_parent, null as doc_class
+  from held where doc_id % 11 <> 5 and doc_id % 13 <> 7 and not (doc_id % 4 <> 1 and doc_id % 17 = 3))"""
+
+
 QUERIES = {"export_jsonl": _export_jsonl, "stream_intake": _stream_intake, "stream_logs": _stream_logs}
+QUERIES |= {
+    "import_artifacts": _on_artifacts(_import),
+    "artifact_status": _on_artifacts(lambda s, root: artifacts.artifact_records(s, root).select("folder", "status")),
+    "artifact_health": _on_artifacts(artifacts.artifact_health),
+    "artifact_health_summary": _on_artifacts(lambda s, root: artifacts.health_summary(artifacts.artifact_health(s, root))),
+    "pick_paths": _on_artifacts(lambda s, root: artifacts.pick_paths(s, root, ("ocr.json", "metadata.json", "original.pdf"))),
+}
 ORACLE = {
     "export_jsonl": T.sql("select doc_id, submission_id, student_name, school_name, grade, word_count, needs_review, review_reason_codes from submissions", T.SUBMISSIONS),
     "stream_intake": "select distinct substr(sha256(text), 1, 12) as submission_id, length(text) as chars from documents",
     "stream_logs": T.sql(f"select strftime(created_at, '%Y-%m-%d %H:%M:%S') as at, {records._LINE} as level, submission_id as job_id, filename from submissions", T.SUBMISSIONS),
 }
+ORACLE |= {
+    "import_artifacts": T.sql(
+        "select folder, submission_id, filename, student_name, school_name, grade, word_count, ocr_confidence_avg, coalesce(nullif(kept, ''), codes) as review_reason_codes, true as needs_review from validated",
+        T.SUBMISSIONS, _FILES, _IMPORTED, review.CHECKED.replace("from submissions)", "from imported)"),
+    ),
+    "artifact_status": T.sql(
+        """select folder, case when doc_id % 11 = 5 or doc_id % 13 = 7 then 'skipped' when doc_id % 4 <> 1 and doc_id % 17 = 3 then 'error' else 'imported' end as status from held""", T.SUBMISSIONS, _FILES
+    ),
+    "artifact_health": T.sql("select *, missing = '' and corrupted = '' and empty = '' as healthy from health", T.SUBMISSIONS, _FILES, _HEALTH),
+    "artifact_health_summary": T.sql(
+        """select count(*) as folders, count(*) filter (missing = '' and corrupted = '' and empty = '') as healthy, sum(bytes)::bigint as bytes, count(*) filter (missing <> '') as missing,
+        count(*) filter (corrupted <> '') as corrupted, count(*) filter (empty <> '') as empty, count(odd_size) as odd_size from health""", T.SUBMISSIONS, _FILES, _HEALTH,
+    ),
+    "pick_paths": T.sql("select folder || '/' || name as path from files where name in ('ocr.json', 'metadata.json', 'original.pdf')", T.SUBMISSIONS, _FILES),
+}
