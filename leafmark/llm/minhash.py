@@ -19,7 +19,8 @@ Documents with the same text are one node throughout: sketches, buckets and link
 Cases: words are runs of non-blank characters, lower-cased; a text of one to four words is one shingle; a
 text without words (null or empty) links with nothing but equal rows' texts: null with null, empty with
 empty are not linked, each such row is a class of its own. Null doc_ids count as larger than any other; the class
-of documents without any id has a null class_id, and all of its rows are kept. Rows that repeat a doc_id and text are one document. Two
+of documents without any id has a null class_id. One text of a class is kept: of those with its smallest doc_id the one whose hash is
+smallest, so that texts that share a doc_id don't all stay. Rows that repeat a doc_id and text are one document. Two
 texts whose 64-bit hashes collide would be taken as copies. Further columns pass through keep_one(), those of one row where rows repeat.
 """
 
@@ -216,17 +217,27 @@ def feature_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, table: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Of (a, b) pairs of nodes, those that are at least so similar, as (src, dst)."""
+    """Of (a, b) pairs of nodes, those that are at least so similar, as (src, dst).
+
+    The b of one a are cut into blocks of bounded members and features, so an a that a third of all texts is compared with is
+    a key of as many rows as it has blocks, and its features travel once a block.
+    """
     weights = pairs.sparkSession.sparkContext.broadcast(idf)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            sims = [similarity(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), weights.value) for x, y in zip(pdf["left"], pdf["right"], strict=True)]
-            yield pdf.loc[[s >= threshold for s in sims], ["src", "dst"]]
+            for a, left, rows in zip(pdf["a"], pdf["left"], pdf["rows"], strict=True):
+                own = np.frombuffer(left, np.uint64)
+                near = [r["b"] for r in rows if similarity(own, np.frombuffer(r["features"], np.uint64), weights.value) >= threshold]
+                if near:
+                    yield pd.DataFrame({"src": a, "dst": near})
 
-    side = lambda c, name: table.select(F.col("node").alias(c), F.col("features").alias(name))
-    both = pairs.join(side("b", "right"), "b").join(side("a", "left"), "a")
-    return both.select(F.col("a").alias("src"), F.col("b").alias("dst"), "left", "right").mapInPandas(compare, "src long, dst long")
+    sized = pairs.join(table.select(F.col("node").alias("b"), "n"), "b")
+    blocks = sized.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 1000))).cast("int").alias("blocks"))
+    placed = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b", F.lit(3)), F.col("blocks")).cast("int")).drop("blocks")
+    right = placed.join(table.select(F.col("node").alias("b"), "features"), "b").groupBy("a", "block").agg(F.collect_list(F.struct("b", "features")).alias("rows"))
+    both = right.join(table.select(F.col("node").alias("a"), F.col("features").alias("left")), "a")
+    return both.select("a", "left", "rows").mapInPandas(compare, "src long, dst long")
 
 
 def _block_links(a: list[np.ndarray], b: list[np.ndarray], asked: np.ndarray, idf: np.ndarray, threshold: float) -> np.ndarray:
@@ -337,7 +348,7 @@ def open_links(members: DataFrame, drawn: DataFrame, table: DataFrame, idf: np.n
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, class_id, first_id): class and smallest doc_id of every distinct text with words; see the module's text."""
+    """(node, class_id, first_id, chosen): class and smallest doc_id of every distinct text with words, and whether it is the one that stays."""
     spark = docs.sparkSession
     scratch = Scratch()
     with small_batches(spark, 500):
@@ -352,6 +363,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     stars = members.join(centres, ["band", "bucket"]).where("a <> node").select("a", F.col("node").alias("b")).distinct()
     with small_batches(spark, 500):
         table = scratch.keep(feature_table(docs, known))
+    # A row of these holds a block.
+    with small_batches(spark, 8):
         links = scratch.keep(verified(stars, table, idf, threshold))
     found = connected_components(links, scratch)
     labelled = members.select("node", "band", "bucket").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -362,8 +375,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         found = connected_components(links.unionByName(more), scratch)
     ids = docs.where(has_words()).groupBy(node().alias("node")).agg(F.min("doc_id").alias("first_id"))
     named = ids.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    out = materialize(named.join(classes, "component").select("node", "class_id", "first_id"))
+    place = F.struct(F.col("first_id").isNull(), "first_id", "node")
+    classes = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.min_by("node", place).alias("stays"))
+    out = materialize(named.join(classes, "component").select("node", "class_id", "first_id", (F.col("node") == F.col("stays")).alias("chosen")))
     scratch.drop(spark)
     return out
 
@@ -375,7 +389,7 @@ def label(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return rows.join(classes, "node", "left").select(
         "doc_id",
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        (F.col("node").isNull() | F.col("class_id").eqNullSafe(F.col("doc_id"))).alias("kept"),
+        (F.col("node").isNull() | (F.col("chosen") & F.col("class_id").eqNullSafe(F.col("doc_id")))).alias("kept"),
     )
 
 
@@ -388,19 +402,18 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     # A text stays as it is unless it is in a class of other texts or has copies.
     copies = docs.where(has_words()).groupBy(node().alias("node"), "doc_id").agg(F.count("*").alias("n")).groupBy("node").agg(F.sum("n").alias("n"), F.max("n").alias("same_id"))
     several = copies.where("n > 1").select("node", (F.col("same_id") > 1).alias("again"))
-    others = classes.where("not class_id <=> first_id").select("node", F.lit(False).alias("again"))
+    others = classes.where("not chosen").select("node", F.lit(False).alias("again"))
     moved = materialize(others.unionByName(several).groupBy("node").agg(F.max("again").alias("again")))
     rows = sifted(docs.withColumn("__key", F.when(has_words(), node())), F.col("__key"), moved)
-    named = classes.join(moved, "node").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("again").alias("__again"))
+    named = classes.join(moved, "node").select(F.col("node").alias("__node"), F.col("class_id").alias("__class"), F.col("chosen").alias("__chosen"), F.col("again").alias("__again"))
     asked = rows.where("__may").join(named.hint("shuffle_hash"), F.col("__key") == F.col("__node"), "left")
-    once = F.col("__again") & F.col("doc_id").isNotNull()
-    stay = asked.where(F.col("__node").isNull() | (F.col("__class").eqNullSafe(F.col("doc_id")) & ~once))
+    stay = asked.where(F.col("__node").isNull() | (F.col("__chosen") & F.col("__class").eqNullSafe(F.col("doc_id")) & ~F.col("__again")))
     kept = rows.where("not __may").select(*docs.columns).unionByName(stay.select(*docs.columns))
     if moved.where("again").isEmpty():
         return kept
-    repeated = named.where("__again").drop("__again")
+    repeated = named.where("__again and __chosen").drop("__again", "__chosen")
     met = sifted(docs.where(has_words()).withColumn("__key", node()), F.col("__key"), repeated.select("__node")).where("__may")
-    first = met.join(repeated.hint("shuffle_hash"), (F.col("__key") == F.col("__node")) & (F.col("doc_id") == F.col("__class"))).dropDuplicates(["__node", "doc_id"])
+    first = met.join(repeated.hint("shuffle_hash"), (F.col("__key") == F.col("__node")) & F.col("doc_id").eqNullSafe(F.col("__class"))).dropDuplicates(["__node", "doc_id"])
     return kept.unionByName(first.select(*docs.columns))
 
 

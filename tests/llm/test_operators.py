@@ -595,6 +595,18 @@ def test_near_duplicates_brute_force(spark):
     assert kept == set(want.values())
 
 
+def test_one_text_of_a_class_stays_whatever_the_ids(spark):
+    base, other = text_of(70, 200), text_of(71, 200)
+    rows = [(1, base), (1, base + " more"), (2, base + " else"), (1, other), (None, other + " x"), (None, text_of(72, 90)), (None, text_of(72, 90)), (None, text_of(72, 90) + " y"), (1, base)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = collections.Counter((r["doc_id"], r["text"][:20]) for r in minhash.keep_one(docs).collect())
+    assert kept == {(1, base[:20]): 1, (1, other[:20]): 1, (None, text_of(72, 90)[:20]): 1}
+    marked = minhash.label(docs).collect()
+    assert len(marked) == len(rows) and {r["class_id"] for r in marked} == {1, None}
+    # A repeated row is marked like the first.
+    assert sum(r["kept"] for r in marked) in (3, 4, 5) and {r["doc_id"] for r in marked if r["kept"]} == {1, None}
+
+
 def test_draws_estimate_weighted_jaccard():
     idf = np.ones(minhash.TABLE)
     sampler = minhash.Sampler(idf)
