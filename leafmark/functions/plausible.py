@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmark.functions import accents
 from leafmark.functions import fixed as V
 from leafmark.functions import text as X
 from leafmark.functions.text import let
@@ -20,7 +21,7 @@ from leafmark.functions.text import let
 
 def folded(c: Column) -> Column:
     """A trimmed text for matching: lower case, no accents, straight quotes, single blanks."""
-    return X.norm_accent(F.regexp_replace(c, r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "))
+    return accents.accentless(F.regexp_replace(c, r"[\x09-\x0D\x20]{2,}|[\x09-\x0D]", " "))
 
 
 _S, _N = X.SPACE, r"[^\x09-\x0D\x20]"

@@ -104,10 +104,27 @@ def _loose():
     return F.concat(F.lower("review_reason_codes"), F.lit("; , missing_grade,[];empty_essay"))
 
 
+#: For each letter, what stands for it in texts with marks of their own and with letters that decompose.
+MARKED = {"e": "e\u0301\u0323\u1ec6", "o": "\u01ea\u0304", "a": "a\u0308"}
+
+
+def _marked(c):
+    for letter, marks in MARKED.items():
+        c = F.replace(c, F.lit(letter), F.lit(marks))
+    return c
+
+
+def _sql_marked(c: str) -> str:
+    for letter, marks in MARKED.items():
+        c = f"replace({c}, '{letter}', '{marks}')"
+    return c
+
+
 QUERIES = {
     "norm_key": _one(names, X.norm_key, "key"),
     "norm_match": _one(names, X.norm_match, "key"),
     "norm_accent": _docs(plain=lambda c: X.norm_accent(F.substring(c, 1, 1 << 30))),
+    "norm_accent_marks": _docs(plain=lambda c: X.norm_accent(_marked(c))),
     "display_name": _one(names, X.display_name, "shown"),
     "grade_policy": _pair(X.grade_policy),
     "grade_pipeline": _pair(X.grade_pipeline, names=("grade", "reason")),
@@ -168,6 +185,7 @@ _OUTER = r"""[!"#$%&''()*+,\-./:;<=>?@\[\\\]^_`{|}~\x09-\x0D\x20]+"""
 ORACLE = {
     "norm_key": T.sql(rf"select doc_id, raw, replace(lower(regexp_replace(regexp_replace(coalesce(raw, ''), '^{W}+|{W}+$', '', 'g'), '{W}+', ' ', 'g')), 'ß', 'ss') as key from n", _NAMES),
     "norm_match": T.sql("select doc_id, raw, trim(regexp_replace(replace(lower(coalesce(raw, '')), 'ß', 'ss'), '[^a-z0-9]+', ' ', 'g')) as key from n", _NAMES),
+    "norm_accent_marks": f"""select doc_id, translate(strip_accents(lower({_sql_marked("text")})), '’‘“”', '\'\'\'\'""') as plain from documents""",
     "norm_accent": "select doc_id, translate(lower(text), '{}', '{}') as plain from documents".format(X.ACCENTS_FROM, X.ACCENTS_TO.replace("'", "''")),
     "display_name": T.sql(rf"""t as (select doc_id, raw, array_to_string(list_filter(regexp_split_to_array(regexp_replace({TRIM}, '^{_OUTER}|{_OUTER}$', '', 'g'), '{W}+'), lambda x: x <> ''), ' ') as s from n)
       select doc_id, raw, case when length(s) >= 3 then array_to_string(list_transform(string_split(s, ' '), lambda w: case when upper(w) in ({_in(X.ACRONYMS)}) then upper(w) else {_CAP.format('w')} end), ' ') end as shown from t""", _NAMES),

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from leafmark.functions import accents
 from leafmark.functions import fixed as V
 from leafmark.plans import tables as T
 
@@ -19,6 +20,7 @@ RELAXED_WORDS = HEADER_WORDS + (
     "studnt", "studen", "studet", "garde", "grad", "grade", "schol", "schoo", "schol", "escue", "escuel", "essay", "fahter", "father", "illinois", "initiative",
 )
 VERBS = ("is", "are", "was", "were", "be", "have", "has", "do", "did", "will", "can", "write", "wrote")
+#: The accents of the four languages of the test tables, for SQL.
 ACCENTS_FROM, ACCENTS_TO = "àâäáãçèéêëìíîïñòóôöõùúûüýÿ’‘“”", "aaaaaceeeeiiiinooooouuuuyy''\"\""
 ENUM = (
     "MISSING_STUDENT_NAME", "MISSING_GRADE", "MISSING_SCHOOL_NAME", "EMPTY_ESSAY", "SHORT_ESSAY", "OCR_LOW_CONFIDENCE", "EXTRACTION_FALLBACK_USED",
@@ -49,8 +51,8 @@ def norm_match(c: Column) -> Column:
 
 
 def norm_accent(c: Column) -> Column:
-    """Lower case without accents, with straight quotes."""
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(F.lower(c), ACCENTS_FROM, ACCENTS_TO)).otherwise(F.lower(c))
+    """Lower case without accents, with straight quotes: canonical decomposition less its marks, for all of Unicode."""
+    return accents.plain(c)
 
 
 def words(c: Column) -> Column:

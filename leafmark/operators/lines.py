@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmark.functions import accents
 from leafmark.functions import fixed as V
 from leafmark.functions import plausible as P
 from leafmark.functions import text as X
@@ -51,7 +52,7 @@ def last(values: Column) -> Column:
 
 
 def folded_text(alias: str) -> str:
-    return alias.translate(str.maketrans(X.ACCENTS_FROM, X.ACCENTS_TO))
+    return accents.simple(alias)
 
 
 def after_colon(line: Column) -> Column:
