@@ -201,9 +201,13 @@ readers as (select c_custkey as reader_id, 'Reader' || (c_custkey % 97) || '@Exa
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status events of jobs; event types without a status are left out."""
+    return jobs_of(read(spark, sf_dir, "events"))
+
+
+def jobs_of(events: DataFrame) -> DataFrame:
+    """Status events of jobs from events, as a table or a stream."""
     status = {"click": "queued", "view": "started", "purchase": "finished", "error": "failed"}
-    events = read(spark, sf_dir, "events").where(F.col("event_type").isin(*status))
-    return events.select(
+    return events.where(F.col("event_type").isin(*status)).select(
         F.col("event_id"),
         F.col("user_id").alias("job_id"),
         (F.col("user_id") % 10).alias("batch_id"),

@@ -26,6 +26,29 @@ def _stream_intake(s, d):
     return drained(jobs.stream_intake(docs).select("submission_id", F.length("text").alias("chars")))
 
 
+def _job_stream(s, d):
+    """Job events as a stream over the table's files."""
+    events = T.read(s, d, "events")
+    return T.jobs_of(s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*"))
+
+
+def _stream_waits(s, d):
+    """Waits from a stream joined with itself, its pairs drained into files."""
+    return jobs.waits(drained(jobs.stream_wait_pairs(_job_stream(s, d))))
+
+
+def _stream_complete(s, d):
+    """Completed batches of a stream of events, each once, as soon as it has a hundred ended ones."""
+    with jobs.with_rocksdb(s):
+        return drained(jobs.stream_batch_complete(_job_stream(s, d), 100)).select("batch_id", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("completed_at"))
+
+
+def _stream_window(s, d):
+    """Windows of a day, one an hour, of a stream: those that the watermark has passed."""
+    wide = jobs.queue_window(_job_stream(s, d).withWatermark("ts", "1 hour"), slide="1 hour")
+    return drained(wide).withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def _stream_logs(s, d):
     """Log lines as a stream of text files, parsed."""
     path = shared_dir(s)
@@ -97,7 +120,7 @@ _IMPORTED = """imported as (select folder, filename, case when doc_id % 7 = 2 th
   from held where doc_id % 11 <> 5 and doc_id % 13 <> 7 and not (doc_id % 4 <> 1 and doc_id % 17 = 3))"""
 
 
-QUERIES = {"export_jsonl": _export_jsonl, "stream_intake": _stream_intake, "stream_logs": _stream_logs}
+QUERIES = {"export_jsonl": _export_jsonl, "stream_intake": _stream_intake, "stream_logs": _stream_logs, "stream_queue_wait": _stream_waits, "stream_batch_complete": _stream_complete, "stream_queue_window": _stream_window}
 QUERIES |= {
     "import_artifacts": _on_artifacts(_import),
     "artifact_status": _on_artifacts(lambda s, root: artifacts.artifact_records(s, root).select("folder", "status")),
@@ -125,3 +148,9 @@ ORACLE |= {
     ),
     "pick_paths": T.sql("select folder || '/' || name as path from files where name in ('ocr.json', 'metadata.json', 'original.pdf')", T.SUBMISSIONS, _FILES),
 }
+_BEFORE = "b as (select *, lag(status) over w as s, lag(ts) over w as t from jobs where status in ('queued', 'started') window w as (partition by job_id order by ts, event_id))"
+ORACLE |= {
+    "stream_queue_wait": T.sql(f"{_BEFORE} select event_id, job_id, ((epoch_us(ts) - epoch_us(t)) // 1000)::bigint as wait_ms from b where status = 'started' and s = 'queued' and t >= ts - interval 7 days", T.JOBS),
+    "stream_batch_complete": jobs.ORACLE["batch_complete"],
+    "stream_queue_window": f"select * from ({jobs.ORACLE['queue_window_hourly']}) where window_start::timestamp + interval 24 hours <= (select max(ts) from events where event_type in ('click', 'view', 'purchase', 'error')) - interval 1 hour",
+}

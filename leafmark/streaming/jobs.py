@@ -5,11 +5,12 @@ Streams read growing folders of Parquet or text files. State is keyed by job or
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from typing import Any
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leafmark.plans import tables as T
 
@@ -74,11 +75,22 @@ def batch_complete(events: DataFrame, wanted: int) -> DataFrame:
     return rows.withColumn("i", F.row_number().over(order)).where("i = nth").select("batch_id", F.col("ts").alias("completed_at"))
 
 
+STATUSES = ("queued", "started", "finished", "failed")
+
+
+def panes(events: DataFrame, length: str) -> DataFrame:
+    """Events by status in adjoining windows of this length."""
+    return events.groupBy(F.window("ts", length)).agg(F.count("*").alias("n"), *[F.count_if(F.col("status") == k).alias(k) for k in STATUSES])
+
+
 def queue_window(events: DataFrame, size: str = "24 hours", slide: str = "6 hours") -> DataFrame:
-    """Events by status over sliding windows. On a stream, give it a watermark first."""
-    return events.groupBy(F.window("ts", size, slide)).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("status") == k).alias(k) for k in ("queued", "started", "finished", "failed")]
-    ).select(F.col("window.start").alias("window_start"), "n", "queued", "started", "finished", "failed")
+    """Events by status over sliding windows, size being a multiple of slide.
+
+    Events are counted by panes of one slide, once each, and windows add up panes, so no event is copied into all of its windows. On
+    a stream, give it a watermark first: both aggregations then chain in append mode.
+    """
+    wide = panes(events, slide).groupBy(F.window("window", size, slide)).agg(*[F.sum(c).alias(c) for c in ("n", *STATUSES)])
+    return wide.select(F.col("window.start").alias("window_start"), "n", *STATUSES)
 
 
 def metric_clean(metrics: DataFrame) -> DataFrame:
@@ -101,32 +113,96 @@ def stream_intake(documents: DataFrame, watermark: tuple[str, str] | None = None
     return named.dropDuplicates(["submission_id"])
 
 
-class CompletionCounter:
-    """Counts ended events of a batch and emits it once when the wanted number is reached."""
-
-    def __init__(self, wanted: int):
-        self.wanted = wanted
+class Completion(StatefulProcessor):
+    """Counts a batch's ended events and emits it once, when the wanted number is reached.
 
-    def __call__(self, key, frames, state) -> Any:
-        import pandas as pd
+    What remains then is a mark that it is done, which a timer removes when the watermark is `keep` beyond the completion; a batch that never
+    gets there is forgotten as long after its last event. So state holds open and just completed batches only.
+    """
 
-        seen, done = state.get if state.exists else (0, False)
-        ended = sum(len(f) for f in frames)
-        now = not done and seen + ended >= self.wanted
-        state.update((seen + ended, done or now))
-        if now:
-            yield pd.DataFrame({"batch_id": [key[0]], "ended": [seen + ended]})
+    def __init__(self, wanted: int, keep_ms: int) -> None:
+        self.wanted, self.keep_ms = wanted, keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("batch", "seen long, done boolean, until long")
+
+    def _wait_until(self, moment: int, before: int | None) -> None:
+        if before is not None and before != moment:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(moment)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        seen, done, until = self.state.get() if self.state.exists() else (0, False, None)
+        for row in sorted(rows, key=lambda r: (r["micros"], r["event_id"])):
+            if done:
+                break
+            seen, last = seen + 1, row["micros"]
+            moment = max(until or 0, last // 1000 + self.keep_ms)
+            if seen >= self.wanted:
+                done = True
+                yield Row(batch_id=key[0], ended=seen, micros=last)
+            self._wait_until(moment, until)
+            until = moment
+        self.state.update((seen, done, until))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.state.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def stream_batch_complete(events: DataFrame, wanted: int, delay: str = "10 minutes", keep_ms: int = 3_600_000) -> DataFrame:
+    """Each batch once, as soon as it has the wanted number of ended events, with the time of the last that it needed.
+
+    Events may be late by the delay; those of a completed batch count no more until its mark goes, keep_ms after its completion. Needs the RocksDB
+    state store (see with_rocksdb). An event that comes with another batch's counts when it is seen, not at its own time.
+    """
+    # The condition holds the time, else it would be moved below the watermark, which events of all kinds are to advance.
+    is_ended = F.when(F.col("status").isin("finished", "failed"), F.col("ts")).isNotNull()
+    ended = events.withWatermark("ts", delay).where(is_ended).select("batch_id", "ts", "event_id", F.unix_micros("ts").alias("micros"))
+    found = ended.groupBy("batch_id").transformWithState(Completion(wanted, keep_ms), "batch_id long, ended long, micros long", "Append", "EventTime")
+    return found.select("batch_id", "ended", F.timestamp_micros("micros").alias("completed_at"))
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers and typed state need; the session's own setting comes back."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    own = spark.conf.getAll.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if own is None else spark.conf.set(name, own)
+
+
+def stream_wait_pairs(events: DataFrame, within: str = "7 days", delay: str = "1 hour") -> DataFrame:
+    """Every start with each event of its job that came before it, no longer ago than within: a stream joined with itself.
+
+    Both sides have a watermark, so a start is held until no earlier event can come any more, and an event until no start can reach back to it.
+    Pairs come out as they are met; waits() makes waits of them.
+    """
+    marked = events.where("status in ('queued', 'started')").withWatermark("ts", delay)
+    starts = marked.where("status = 'started'").select("event_id", "job_id", "ts")
+    before = marked.select(F.col("job_id").alias("p_job"), F.col("event_id").alias("p_id"), F.col("status").alias("p_status"), F.col("ts").alias("p_ts"))
+    earlier = (F.col("p_ts") < F.col("ts")) | ((F.col("p_ts") == F.col("ts")) & (F.col("p_id") < F.col("event_id")))
+    bound = (F.col("p_ts") <= F.col("ts")) & (F.col("p_ts") >= F.col("ts") - F.expr(f"interval {within}"))
+    return starts.join(before, (F.col("job_id") == F.col("p_job")) & bound & earlier).drop("p_job")
 
 
-def stream_batch_complete(events: DataFrame, wanted: int) -> DataFrame:
-    """Each batch once, as soon as it has the wanted number of ended events."""
-    ended = events.where("status in ('finished', 'failed')").select("batch_id", "status")
-    return ended.groupBy("batch_id").applyInPandasWithState(CompletionCounter(wanted), "batch_id long, ended long", "seen long, done boolean", "append", "NoTimeout")
+def waits(pairs: DataFrame) -> DataFrame:
+    """Milliseconds from the previous queued event to each start, from all pairs of a table; as a stream, each start once, when the watermark has passed it."""
+    last = pairs.groupBy("event_id", "job_id", "ts").agg(F.max_by(F.struct("p_status", "p_ts"), F.struct("p_ts", "p_id")).alias("p"))
+    return last.where("p.p_status = 'queued'").select("event_id", "job_id", F.floor((F.unix_micros("ts") - F.unix_micros("p.p_ts")) / 1000).cast("long").alias("wait_ms"))
 
 
 def drain(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there and give its result as a table of this session."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    with with_rocksdb(stream.sparkSession):
+        query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
 
