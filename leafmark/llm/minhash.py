@@ -236,7 +236,10 @@ def verified(pairs: DataFrame, table: DataFrame, idf: np.ndarray, threshold: flo
     blocks = sized.groupBy("a").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / (BLOCK * 1000))).cast("int").alias("blocks"))
     placed = pairs.join(blocks, "a").withColumn("block", F.pmod(F.xxhash64("b", F.lit(3)), F.col("blocks")).cast("int")).drop("blocks")
     right = placed.join(table.select(F.col("node").alias("b"), "features"), "b").groupBy("a", "block").agg(F.collect_list(F.struct("b", "features")).alias("rows"))
-    both = right.join(table.select(F.col("node").alias("a"), F.col("features").alias("left")), "a")
+    # A row of the left for every block, so that blocks stay where they have been gathered.
+    each = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    left = blocks.select("a", each).join(table.select(F.col("node").alias("a"), F.col("features").alias("left")), "a")
+    both = right.join(left, ["a", "block"])
     return both.select("a", "left", "rows").mapInPandas(compare, "src long, dst long")
 
 
