@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import text
-from leafmark.operators import records, review
+from leafmark.operators import rankings, records, review
 from leafmark.plans import tables as T
 from leafmark.sources import artifacts
 from leafmark.sources.shared import drained, shared_dir
+from leafmark.sources.stored import StoredTable
 from leafmark.streaming import jobs
 
 
@@ -120,6 +124,54 @@ _IMPORTED = """imported as (select folder, filename, case when doc_id % 7 = 2 th
   from held where doc_id % 11 <> 5 and doc_id % 13 <> 7 and not (doc_id % 4 <> 1 and doc_id % 17 = 3))"""
 
 
+#: Rows of a file where stored tables are queries: fewer than the library's own number, so that small tables have several files, too.
+STORED_ROWS = 1000
+
+
+def _stored(s, rows, key, cluster):
+    table = StoredTable(s, shared_dir(s), key, cluster, STORED_ROWS)
+    table.create(rows)
+    return table
+
+
+def _stored_upsert(s, d):
+    """Records stored, then those of a later table put in: files without any of its ids stay."""
+    base, delta = records._base(s, d)
+    table = _stored(s, base, ("submission_id",), ("submission_id",))
+    table.upsert(delta)
+    return table.read()
+
+
+def _stored_rewrite(s, d):
+    """The split set stored, then ids removed, moved and updated in one version."""
+    csv, ids = records._csv(s, d), lambda which: records._csv_ids(s, d, which)
+    removed, moved, updates = ids("doc_id % 10 = 0"), ids("doc_id % 7 = 0"), ids("doc_id % 4 = 0").withColumn("grade", F.lit("3"))
+    table = _stored(s, csv, ("submission_id",), ("submission_id",))
+    table.update(reduce(DataFrame.unionByName, [x.select("submission_id") for x in (removed, moved, updates)]), lambda rows: records.csv_rewrite(rows, removed, moved, updates))
+    return table.read()
+
+
+def _stored_replace(s, d):
+    """Rankings stored by assignment and reader, then whole groups replaced."""
+    new = rankings._new_rankings(s, d)
+    table = _stored(s, T.rankings(s, d), ("assignment_id", "reader_id"), ("assignment_id", "reader_id"))
+    table.update(new, lambda rows: rankings.replace_group(rows, new))
+    return table.read()
+
+
+def _stored_range(s, d):
+    """Records of some hours from a table stored in order of time."""
+    table = _stored(s, T.submissions(s, d), ("submission_id",), ("created_at",))
+    time = lambda at: F.lit(at).cast("timestamp")
+    return table.between("created_at", time("2024-01-01 02:00:00"), time("2024-01-01 09:00:00")).select("doc_id", "owner_user_id")
+
+
+def _stored_lookup(s, d):
+    """Events of three jobs from a table stored in order of time, by the lists' bitmaps."""
+    table = _stored(s, T.jobs(s, d), ("job_id",), ("ts",))
+    return table.lookup([(3,), (17,), (42,)]).select("event_id", "job_id", "status")
+
+
 QUERIES = {"export_jsonl": _export_jsonl, "stream_intake": _stream_intake, "stream_logs": _stream_logs, "stream_queue_wait": _stream_waits, "stream_batch_complete": _stream_complete, "stream_queue_window": _stream_window}
 QUERIES |= {
     "import_artifacts": _on_artifacts(_import),
@@ -148,6 +200,17 @@ ORACLE |= {
     ),
     "pick_paths": T.sql("select folder || '/' || name as path from files where name in ('ocr.json', 'metadata.json', 'original.pdf')", T.SUBMISSIONS, _FILES),
 }
+QUERIES |= {
+    "stored_upsert": _stored_upsert, "stored_rewrite": _stored_rewrite, "stored_replace_group": _stored_replace, "stored_time_range": _stored_range, "stored_lookup": _stored_lookup,
+}
+_MERGED = records.ORACLE["upsert_records"]
+ORACLE |= {
+    "stored_upsert": f"select * exclude (action, previous_owner) from ({_MERGED})",
+    "stored_rewrite": records.ORACLE["csv_rewrite"],
+    "stored_replace_group": rankings.ORACLE["replace_group"],
+    "stored_time_range": records.ORACLE["scan_time_range"],
+    "stored_lookup": T.sql("select event_id, job_id, status from jobs where job_id in (3, 17, 42)", T.JOBS),
+}
 _BEFORE = "b as (select *, lag(status) over w as s, lag(ts) over w as t from jobs where status in ('queued', 'started') window w as (partition by job_id order by ts, event_id))"
 ORACLE |= {
     "stream_queue_wait": T.sql(f"{_BEFORE} select event_id, job_id, ((epoch_us(ts) - epoch_us(t)) // 1000)::bigint as wait_ms from b where status = 'started' and s = 'queued' and t >= ts - interval 7 days", T.JOBS),
