@@ -11,6 +11,7 @@ MODULES: list[str] = [
     "leafmark.functions.signals",
     "leafmark.operators.review",
     "leafmark.operators.reports",
+    "leafmark.operators.sketches",
     "leafmark.operators.records",
     "leafmark.operators.pages",
     "leafmark.operators.doc_codes",
