@@ -10,6 +10,7 @@ MODULES: list[str] = [
     "leafmark.functions.queries",
     "leafmark.functions.signals",
     "leafmark.operators.review",
+    "leafmark.operators.checked",
     "leafmark.operators.reports",
     "leafmark.operators.sketches",
     "leafmark.operators.records",
