@@ -71,21 +71,14 @@ def _top():
 
 
 def _whole(s, d):
-    """Whole documents below the tops of _tops()."""
+    """Whole documents below tops of several kinds."""
     return T.read(s, d, "documents").select("doc_id", F.concat(_top(), "text").alias("text"))
 
 
-def _tops(s, d):
-    """Page tops of several kinds, before a piece of each document."""
-    i = F.col("doc_id")
-    body = F.when(i % 2 == 0, F.substring("text", 1, 20)).otherwise(F.substring("text", 1, 120))
-    return T.read(s, d, "documents").select("doc_id", F.concat(_top(), body).alias("text"))
-
-
 QUERIES = {
-    "nav_overlay": lambda s, d: _tops(s, d).select("doc_id", nav_overlay(F.col("text")).alias("overlay")),
-    "form_detect": lambda s, d: _tops(s, d).select("doc_id", typed_form(F.col("text")).alias("typed"), scanned_form(F.col("text")).alias("scanned")),
-    "startpage_signals": lambda s, d: _tops(s, d).select("doc_id", *[v.alias(k) for k, v in startpage_signals(F.col("text")).items()]),
+    "nav_overlay": lambda s, d: _whole(s, d).select("doc_id", nav_overlay(F.col("text")).alias("overlay")),
+    "form_detect": lambda s, d: _whole(s, d).select("doc_id", typed_form(F.col("text")).alias("typed"), scanned_form(F.col("text")).alias("scanned")),
+    "startpage_signals": lambda s, d: _whole(s, d).select("doc_id", *[v.alias(k) for k, v in startpage_signals(F.col("text")).items()]),
     "nav_overlay_whole": lambda s, d: _whole(s, d).select("doc_id", nav_overlay(F.col("text")).alias("overlay")),
     "form_detect_whole": lambda s, d: _whole(s, d).select("doc_id", typed_form(F.col("text")).alias("typed"), scanned_form(F.col("text")).alias("scanned")),
     "startpage_signals_pages": lambda s, d: T.pages(s, d).select("doc_id", "page_index", *[v.alias(k) for k, v in startpage_signals(F.col("text")).items()]),
@@ -95,7 +88,7 @@ _TOPS = r"""
 tops as (select doc_id, case doc_id % 6 when 0 then 'English Page ' || (doc_id % 9) || chr(10) || 'Monday, May 4, 2020' || chr(10) || '10:15 am' || chr(10) || 'father' || chr(10)
   when 1 then 'IFI Fatherhood Essay Contest' || chr(10) || 'Student’s Name' || chr(10) || 'Grade: 7' || chr(10) || 'School:' || chr(10) || 'Phone' || chr(10)
   when 2 then 'Essay by a studnt' || chr(10) || 'my father, padre' || chr(10) when 3 then 'Alva Brook' || chr(10) || '5th grade' || chr(10) || 'Hill School' || chr(10)
-  when 4 then 'kami export: school grade' || chr(10) else '' end || case when doc_id % 2 = 0 then substr(text, 1, 20) else substr(text, 1, 120) end as text from documents)
+  when 4 then 'kami export: school grade' || chr(10) else '' end || text as text from documents)
 """
 _T = r"regexp_replace({}, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')"
 
@@ -113,7 +106,6 @@ ORACLE = {
       select doc_id, {_hits('low', BOILERPLATE)} > 0 as boilerplate, len(w) between 2 and 5 and {_hits('j', NO_NAME)} = 0 as name, regexp_matches(low, '{'|'.join(GRADE_SIGNS)}') as grade,
         (contains(low, 'school') or contains(low, 'escuela')) and len(w) >= 2 as school from b""", _TOPS),
 }
-# The same statements over whole texts; pages stand for documents in the last.
-_CUT = "case when doc_id % 2 = 0 then substr(text, 1, 20) else substr(text, 1, 120) end"
-ORACLE |= {f"{k}_whole": ORACLE[k].replace(_CUT, "text") for k in ("nav_overlay", "form_detect")}
+# Earlier names of the same statements; pages stand for documents in the last.
+ORACLE |= {f"{k}_whole": ORACLE[k] for k in ("nav_overlay", "form_detect")}
 ORACLE["startpage_signals_pages"] = ORACLE["startpage_signals"].replace(_TOPS, T.PAGES).replace("from tops", "from doc_pages").replace("select doc_id,", "select doc_id, page_index,")

@@ -231,10 +231,6 @@ def _requests(s, d):
     return r.select("assignment_id", F.when(F.col("reader_id") % 11 == 0, F.col("submission_id") + 1).otherwise(F.col("submission_id")).alias("submission_id"), (F.col("rank_position") + F.col("reader_id") % 3 - 1).cast("int").alias("rank_position")).distinct()
 
 
-def _readers_of_batches(s, d):
-    return T.readers(s, d).where("reader_id <= 12").select("reader_id", F.col("reader_id").alias("position"))
-
-
 def _all_readers(s, d):
     return T.readers(s, d).select("reader_id", F.col("reader_id").alias("position"))
 
@@ -272,7 +268,7 @@ QUERIES = {
     "batch_bounds": lambda s, d: batch_bounds(_groups(s, d)),
     "batch_rows": _slices,
     "batch_summary": lambda s, d: batch_summary(_groups(s, d), T.assignments(s, d), T.readers(s, d)),
-    "pair_readers": lambda s, d: pair_readers(batch_bounds(_groups(s, d)).select("school_name", "grade", "batch_number"), _readers_of_batches(s, d), T.assignments(s, d)),
+    "pair_readers": lambda s, d: pair_readers(batch_bounds(_groups(s, d)).select("school_name", "grade", "batch_number"), _all_readers(s, d), T.assignments(s, d)),
     "pair_all_readers": lambda s, d: pair_readers(batch_bounds(_groups(s, d)).select("school_name", "grade", "batch_number"), _all_readers(s, d), T.assignments(s, d)),
     "assignment_essays": lambda s, d: assignment_essays(T.assignments(s, d), T.finalists(s, d), _slices(s, d)),
     "reader_choices": lambda s, d: reader_choices(T.rankings(s, d), T.finalists(s, d), T.readers(s, d)),
@@ -334,8 +330,8 @@ ORACLE = {
     "batch_rows": T.sql("select * from slices", T.ESSAYS, SLICES),
     "batch_summary": T.sql("""e as (select school_name, grade, batch_number, string_agg(email, ';' order by email) as reader_emails from (select distinct school_name, grade, batch_number, lower(email) as email from assignments join readers using (reader_id)) group by 1, 2, 3)
       select b.school_name, b.grade, b.batch_number, b."end" - b.start as essays, coalesce(reader_emails, '') as reader_emails from bounded b left join e on e.school_name = b.school_name and e.grade = b.grade and e.batch_number = b.batch_number""", T.ASSIGNMENTS, T.READERS, GROUPS, BOUNDS),
-    "pair_readers": T.sql("select reader_id, school_name, grade, batch_number from bounded b join readers r on r.reader_id = b.batch_number and r.reader_id <= 12 where (reader_id, school_name, grade, batch_number) not in (select (reader_id, school_name, grade, batch_number) from assignments)", T.ASSIGNMENTS, T.READERS, GROUPS, BOUNDS),
+    "pair_readers": T.sql("select reader_id, school_name, grade, batch_number from bounded b join readers r on r.reader_id = b.batch_number where (reader_id, school_name, grade, batch_number) not in (select (reader_id, school_name, grade, batch_number) from assignments)", T.ASSIGNMENTS, T.READERS, GROUPS, BOUNDS),
     "assignment_essays": T.sql("select distinct assignment_id, submission_id from finalists union all select a.assignment_id, s.submission_id from assignments a join slices s using (school_name, grade, batch_number) where a.assignment_id not in (select assignment_id from finalists)", T.ASSIGNMENTS, T.FINALISTS, T.ESSAYS, SLICES),
     "reader_choices": T.sql("select *, name || ' (' || email || ')' as label from (select lower(email) as email, arg_max(name, (assignment_id, reader_id, submission_id)) as name from rankings join readers using (reader_id) where assignment_id not in (select assignment_id from finalists) group by 1)", T.RANKINGS, T.FINALISTS, T.READERS),
 }
-ORACLE["pair_all_readers"] = ORACLE["pair_readers"].replace(" and r.reader_id <= 12", "")
+ORACLE["pair_all_readers"] = ORACLE["pair_readers"]

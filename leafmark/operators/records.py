@@ -341,7 +341,7 @@ QUERIES = {
     "peers_union": lambda s, d: peers_union(*[_subs(s, d).where(c).select("doc_id", "submission_id") for c in ("doc_id % 2 = 0", "doc_id % 3 = 0", "needs_review")]),
     "orphans": lambda s, d: orphans(_subs(s, d).select("submission_id", "owner_user_id", F.col("word_count").alias("bytes")), _subs(s, d).where("doc_id % 3 <> 0")),
     "normalize_join": lambda s, d: normalize_join(_subs(s, d), _subs(s, d).where("doc_id % 2 = 0").select("submission_id", F.lit("from artifact").alias("school"), F.lit(11).cast("long").alias("words")), _subs(s, d).where("doc_id % 5 <> 0")),
-    "readers_merge": lambda s, d: readers_merge(T.readers(s, d).where("reader_id % 3 = 0"), T.readers(s, d).where("reader_id < 40")),
+    "readers_merge": lambda s, d: readers_merge(T.readers(s, d), T.rankings(s, d).select(F.col("reader_email").alias("email"))),
     "readers_merge_all": lambda s, d: readers_merge(T.readers(s, d), T.rankings(s, d).select(F.col("reader_email").alias("email"))),
     "batch_defaults": lambda s, d: batch_defaults(_subs(s, d), _batches(s, d)),
     "artifact_index": lambda s, d: artifact_index(_found(s, d)),
@@ -404,7 +404,6 @@ ORACLE = {
     "normalize_join": T.sql("""p as (select distinct submission_id from submissions where doc_id % 2 = 0), i as (select distinct submission_id from submissions where doc_id % 5 <> 0)
       select doc_id, coalesce(school_name, case when p.submission_id is not null then 'from artifact' end) as school, coalesce(nullif(word_count, 0), case when p.submission_id is not null then 11 end) as words, i.submission_id is null as artifact_missing
       from submissions s left join p on p.submission_id = s.submission_id left join i on i.submission_id = s.submission_id""", *_S),
-    "readers_merge": T.sql("k as (select distinct lower(email) as email from readers where reader_id % 3 = 0) select email, 'known' as origin from k union all select distinct lower(email), 'created' from readers where reader_id < 40 and lower(email) not in (select email from k)", T.READERS),
     "readers_merge_all": T.sql("k as (select distinct lower(email) as email from readers) select email, 'known' as origin from k union all select distinct lower(reader_email), 'created' from rankings where lower(reader_email) not in (select email from k)", T.READERS, T.RANKINGS),
     "batch_defaults": T.sql(f"""j as (select s.*, n_name as ds, case when n_nationkey % 2 = 0 then '4' end as dg from submissions s left join (select * from nation where n_nationkey < 8) n on n.n_nationkey = s.batch_id),
       f as (select *, school_source <> 'manual' and coalesce(trim(school_name), '') = '' and coalesce(trim(ds), '') <> '' as s, school_source <> 'manual' and coalesce(trim(grade), '') = '' and coalesce(trim(dg), '') <> '' as g from j)
@@ -417,3 +416,4 @@ ORACLE = {
       v as (select *, array_to_string(list_transform(string_split(sc, ' '), lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), ' ') as shown from u)
       select doc_id, 'grade' as field, grade as before, g as after from v where grade is distinct from g union all select doc_id, 'school_name', raw, shown from v where raw is distinct from shown""", *_S),
 }
+ORACLE["readers_merge"] = ORACLE["readers_merge_all"]
