@@ -4,8 +4,9 @@ Inputs and reference are made distinct first, so the work follows the number of
 sees only what the earlier ones left. Equality and containment are joins on keys: a name that lies in another shares its first
 letters with one of the other's runs of as many letters, so only names that share such a run meet. Similarity, a difflib ratio
 in an Arrow function, has no such key: there the reference is a stated list, taken in blocks of a bounded size that are
-broadcast one by one, and pairs whose lengths or shared pairs of letters rule the threshold out never reach Python. Results of
-a tier are the first by reference order.
+broadcast one by one, and pairs whose lengths, letters or shared pairs of letters rule the threshold out never reach Python. The canonical
+resolver compares names that share a word; a word that many hold ("school") is cut into blocks on both sides, so that its pairs spread over tasks
+and no name is broadcast. Results of a tier are the first by reference order.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from leafmark.plans import tables as T
 
 #: Reference names that are broadcast at a time where names are compared by similarity; a longer list takes several rounds.
 BLOCK_ROWS = 50_000
+#: Names and references of a block of those that share a word.
+WORD_NAMES, WORD_REFS = 20_000, 2_000
+#: What normalized names are made of.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
 #: Letters of the runs by which containment is joined; names with fewer are found by their whole length.
 RUN = 4
 
@@ -92,6 +97,42 @@ def _pairs_reach(floor: float) -> Column:
     return shared >= 3 * F.ceil(F.lit(floor / 2) * s - 1e-9) - s - 1
 
 
+def _with_letters(rows: DataFrame, name: str, into: str) -> DataFrame:
+    """rows with how often each letter is in a name."""
+    c = F.col(name)
+    return rows.withColumn(into, F.array(*[F.length(c) - F.length(F.replace(c, F.lit(x), F.lit(""))) for x in ALPHABET]))
+
+
+def _letters_reach(floor: float) -> Column:
+    """Whether two names have enough letters in common for that ratio, wherever they stand."""
+    shared = F.aggregate(F.zip_with("letters", "ref_letters", lambda a, b: F.least(a, b)), F.lit(0), lambda n, x: n + x)
+    return 2 * shared >= F.lit(floor - 1e-9) * (F.length("norm") + F.length("ref_norm"))
+
+
+def similar_enough(floor: float) -> Column:
+    """What can be said of a pair's ratio before it is computed, the cheapest first."""
+    return _reach(F.length("norm"), F.length("ref_norm"), floor) & _letters_reach(floor) & _pairs_reach(floor)
+
+
+def _sharing_a_word(names: DataFrame, ref: DataFrame, condition: Column) -> DataFrame:
+    """Pairs of a name and a reference that share a word of two letters or more and meet the condition, each once.
+
+    Both sides of a word are cut into blocks, and each block of one side meets each of the other, so a word that all names hold is no hot key. A pair
+    with several common words is compared at the first of them only.
+    """
+    long = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 2))
+    left = names.withColumn("words", long("norm")).withColumn("word", F.explode("words"))
+    right = ref.withColumn("ref_words", long("ref_norm")).withColumn("word", F.explode("ref_words"))
+    count = lambda rows, most, name: rows.groupBy("word").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = count(left, WORD_NAMES, "n_blocks").join(count(right, WORD_REFS, "r_blocks"), "word")
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(blocks, "word").withColumn("n_block", own("norm", "n_blocks")).withColumn("r_block", every("r_blocks")).drop("n_blocks", "r_blocks")
+    right = right.join(blocks, "word").withColumn("r_block", own("ref_norm", "r_blocks")).withColumn("n_block", every("n_blocks")).drop("n_blocks", "r_blocks")
+    first = F.get(F.array_intersect("words", "ref_words"), F.lit(0)) == F.col("word")
+    return left.join(right, ["word", "n_block", "r_block"]).where(first & condition)
+
+
 def _words_reach(floor: float = 0.8) -> Column:
     """Whether every word of the side with fewer words has one of a fitting length on the other."""
     p, q = (F.filter(F.split(c, " "), lambda w: F.length(w) >= 2) for c in ("norm", "ref_norm"))
@@ -139,12 +180,12 @@ def match_plain(names: DataFrame, reference: DataFrame) -> DataFrame:
 
 def match(names: DataFrame, reference: DataFrame, floor: float = 0.8) -> DataFrame:
     """All five tiers: equal, contained, all words close, most similar of at least the floor, none."""
-    ref = _reference(reference)
-    exact, partial, rest = _plain_tiers(_norms(names), ref)
+    ref = _with_letters(_reference(reference), "ref_norm", "ref_letters")
+    exact, partial, rest = _plain_tiers(_with_letters(_norms(names), "norm", "letters"), ref)
     blocks = _blocks(ref)
     pairs = _joined(rest, blocks, _words_reach())
     fuzzy_words = _first(pairs.where(words_close("norm", "ref_norm")), "fuzzy_partial", F.lit(0.9))
-    left = _joined(rest.join(fuzzy_words.select("norm"), "norm", "left_anti"), blocks, _reach(F.length("norm"), F.length("ref_norm"), floor) & _pairs_reach(floor))
+    left = _joined(rest.join(fuzzy_words.select("norm"), "norm", "left_anti"), blocks, similar_enough(floor))
     near = left.withColumn("r", seq_ratio("norm", "ref_norm")).where(F.col("r") >= floor)
     best = near.groupBy("norm").agg(F.max_by(F.struct("ref_idx", "ref_name", F.col("r").alias("confidence")), F.struct("r", -F.col("ref_idx"))).alias("b"))
     fuzzy = best.select("norm", F.lit("fuzzy").alias("method"), "b.confidence", "b.ref_idx", "b.ref_name")
@@ -153,11 +194,9 @@ def match(names: DataFrame, reference: DataFrame, floor: float = 0.8) -> DataFra
 
 def canonical(names: DataFrame, reference: DataFrame, floor: float = 0.78) -> DataFrame:
     """The reference name of each name: equal, contained, or most similar of those that share a word."""
-    ref = _reference(reference)
-    exact, partial, rest = _plain_tiers(_norms(names), ref)
-    long = lambda c: F.filter(F.split(c, " "), lambda w: F.length(w) >= 2)
-    token = F.explode(F.array_distinct(long("norm")))
-    pairs = rest.select("norm", token.alias("word")).join(ref.select("*", F.explode(F.array_distinct(long("ref_norm"))).alias("word")), "word").dropDuplicates(["norm", "ref_idx"])
+    ref = _with_letters(_reference(reference), "ref_norm", "ref_letters")
+    exact, partial, rest = _plain_tiers(_with_letters(_norms(names), "norm", "letters"), ref)
+    pairs = _sharing_a_word(rest, ref, similar_enough(floor))
     near = pairs.withColumn("r", seq_ratio("norm", "ref_norm")).where(F.col("r") >= floor)
     best = near.groupBy("norm").agg(F.max_by(F.struct("ref_idx", "ref_name", F.col("r").alias("confidence")), F.struct("r", -F.col("ref_idx"))).alias("b"))
     return _answer(names, exact.unionByName(partial).unionByName(best.select("norm", F.lit("fuzzy").alias("method"), "b.confidence", "b.ref_idx", "b.ref_name")))

@@ -97,6 +97,32 @@ def test_tiers_are_those_of_plain_loops(spark, monkeypatch, block, empty):
         assert got == {i: _plain(n, refs, canonical) for i, n in enumerate(NAMES)}
 
 
+def test_names_that_share_a_frequent_word(spark, monkeypatch):
+    """All names hold "school": answers are those of plain loops in any blocks, and few of the pairs are compared by difflib."""
+    import random
+
+    r = random.Random(5)
+    part = lambda: "".join(r.choice("bcdfghklmnprst") + r.choice("aeiou") for _ in range(r.randint(2, 4)))
+    refs = [(i, f"{part()} {part()} school".title()) for i in range(150)]
+    names = []
+    for i in range(150):
+        base = list(refs[r.randrange(150)][1].lower())
+        for _ in range(r.randint(1, 4)):
+            base[r.randrange(len(base) - 7)] = r.choice("aeioubcd")
+        names.append((i, "".join(base)))
+    frames = spark.createDataFrame(names, "i int, name string"), spark.createDataFrame(refs, "ref_idx int, name string")
+    want = {i: _plain(n, refs, True) for i, n in names}
+    assert sum(m == "fuzzy" for m, *_ in want.values()) > 50
+    for most in (20_000, 30):
+        monkeypatch.setattr(matching, "WORD_NAMES", most)
+        monkeypatch.setattr(matching, "WORD_REFS", most)
+        got = {r["i"]: (r["method"], pytest.approx(r["confidence"]), r["matched"]) for r in matching.canonical(*frames).collect()}
+        assert got == want
+    norms, known = matching._with_letters(matching._norms(frames[0]), "norm", "letters"), matching._with_letters(matching._reference(frames[1]), "ref_norm", "ref_letters")
+    pairs = matching._sharing_a_word(norms, known, matching.similar_enough(0.78))
+    assert pairs.count() == pairs.select("norm", "ref_norm").distinct().count() <= 0.1 * 150 * 150
+
+
 def test_no_reference_matches_nothing(spark):
     names, reference = spark.createDataFrame([(1, "a b"), (2, "?")], "i int, name string"), spark.createDataFrame([], "ref_idx int, name string")
     assert {r["method"] for r in matching.match(names, reference).collect()} == {"none"}
