@@ -15,7 +15,7 @@ the begin mark); discounts come from counts of counts, and the lowest order is i
 Scoring: workers map the arrays into memory, so one copy serves all workers of a machine and no worker holds a model, and look up the distinct ids
 of a batch in order. If the shared folder is a store that cannot be mapped, a shard at a time is read from it.
 
-ORDER is 2: of check_s, 0.1 GB, the distinct three-word runs alone take 1.2 times the input as hash arrays and more on their way there. The
+ORDER is 2: the different three-word runs of check_s, 0.1 GB, alone take 1.8 times the input as hash arrays and as much again on their way there. The
 functions take any order; tests hold 1, 2 and 3 against dictionaries.
 
 Cases: null and empty texts are the end alone; repeated rows are texts of their own; a null doc_id has the remainder of none and is trained on; with
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from leafmark.llm.common import materialize, mix64, raw_word_hashes, shared_dir, small_batches
 
 ORDER = 2
-#: Tokens that a task holds at once, entries that a shard is to have, and texts whose n-grams set the bounds.
-HELD = 1 << 20
-SHARD = 1 << 21
+#: Tokens that a task holds at once while it counts and while it scores, entries that a shard is to have, and texts whose n-grams set the bounds.
+HELD, SCORED = 1 << 20, 1 << 18
+SHARD = 1 << 20
 SAMPLE = 2000
 #: Bits of an id that come from its prefix, so that n-grams of one prefix lie together.
 HEAD = 20
@@ -125,8 +125,8 @@ GRAM_KINDS = ["<u8", "<u8", "<u4"]
 ABOUT = {"raw": ("raw",), "before": ("before",), "after": ("total", "ones", "twos", "more")}
 
 
-def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[list]]:
-    """Rows of the columns, the text last, gathered until they hold about HELD tokens."""
+def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...], most: int) -> Iterator[list[list]]:
+    """Rows of the columns, the text last, gathered until they hold about so many tokens."""
     held: list[list] = [[] for _ in columns]
     size = 0
     for batch in batches:
@@ -134,7 +134,7 @@ def _texts(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Itera
             for values, v in zip(held, row, strict=True):
                 values.append(v)
             size += len(row[-1] or "") + 6
-            if size >= 6 * HELD:
+            if size >= 6 * most:
                 yield held
                 held, size = [[] for _ in columns], 0
     if held[0]:
@@ -167,7 +167,7 @@ def _counted(docs: DataFrame, order: int, bounds: list[np.ndarray]) -> DataFrame
     """Pieces with the n-grams of every order within each task's tokens, and their numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (texts,) in _texts(batches, ("text",)):
+        for (texts,) in _texts(batches, ("text",), HELD):
             tokens = Tokens(texts)
             ids, n = merged(tokens.ids, np.ones(len(tokens.ids), np.int64))
             yield from _pieces(1, "raw", bounds[0], ids, [ids, n])
@@ -389,7 +389,7 @@ def train(docs: DataFrame, order: int = ORDER) -> Model:
     folder = shared_dir(spark)
     bounds = _sampled_bounds(docs, order)
     tables, every_discount, lowest, words, tokens = [], [], (0, (0, 0, 0)), 0, 0
-    with small_batches(spark, 64):
+    with small_batches(spark, 16):
         pieces = _counted(docs, order, bounds)
         for rank in range(order, 0, -1):
             written = materialize(_merge_order(pieces, rank, order, bounds, folder))
@@ -412,7 +412,7 @@ def score(docs: DataFrame, model: Model, columns: str = "doc_id long") -> DataFr
     name = columns.split()[0]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in _texts(batches, (name, "text")):
+        for keys, texts in _texts(batches, (name, "text"), SCORED):
             n, known, base, own = model.score(texts)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n), pa.array(known), pa.array(base), pa.array(own)], [name, "n_tokens", "n_known", "base_score", "score"])
 

@@ -396,6 +396,23 @@ def test_packing_round_trip(docs):
     assert made == want
 
 
+def test_differencing_by_hand_and_on_random_sizes():
+    # 8 - 7 and 6 - 5 leave 1, 1 and 4: 4 - 1 = 3, 3 - 1 = 2.
+    sums = lambda sizes, parts: sorted(sum(sizes[i] for i in p) for p in parts)
+    assert sums([8, 7, 6, 5, 4], packing.difference([8, 7, 6, 5, 4], 2)) == [14, 16]
+    assert sums([4, 5, 6, 7, 8], packing.difference([4, 5, 6, 7, 8], 3)) == [8, 11, 11]
+    r = random.Random(3)
+    for _ in range(40):
+        sizes = [r.randint(1, 512) for _ in range(r.randint(1, 200))]
+        windows = r.randint(1, 12)
+        parts = packing.difference(sizes, windows)
+        assert len(parts) == min(windows, max(len(parts), 1)) and sorted(i for p in parts for i in p) == list(range(len(sizes)))
+        if len(sizes) >= 12 * windows:
+            assert max(sums(sizes, parts)) - min(sums(sizes, parts)) <= 16
+        divided = packing.divide(sizes, 2048)
+        assert sorted(i for p in divided for i in p) == list(range(len(sizes))) and max(sums(sizes, divided)) <= 2048
+
+
 @pytest.mark.parametrize("blank", [" ", "\t", "\n"])
 def test_very_long_runs_of_blanks_pack(spark, blank):
     texts = [blank * 2_000_000, "abc" + blank * 1_000_000 + "def <|endoftext|> x", "a b"]
