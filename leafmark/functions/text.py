@@ -270,11 +270,12 @@ def name_from_file(c: Column) -> Column:
     return F.when(F.size(parts).between(2, 3), F.array_join(F.transform(parts, capitalized), " "))
 
 
-def best_text(*sources: tuple[str, Column], least: int = 30) -> tuple[Column, Column]:
-    """(text, label): the first source with enough words, else the first with any, else an empty one."""
-    full = [(label, c, F.size(words(F.coalesce(c, F.lit(""))))) for label, c in sources]
-    text = F.coalesce(*[F.when(n >= least, c) for _, c, n in full], *[F.when(n > 0, c) for _, c, n in full], F.lit(""))
-    label = F.coalesce(*[F.when(n >= least, F.lit(k)) for k, _, n in full], *[F.when(n > 0, F.lit(k)) for k, _, n in full], F.lit("none"))
+def best_text(*sources: tuple[str, Column], last: tuple[str, Column] | None = None, least: int = 30) -> tuple[Column, Column]:
+    """(text, label): the first source with enough words, else the first with any, else the last resort if it has any, else an empty one."""
+    full = [(label, c, F.size(words(F.coalesce(c, F.lit(""))))) for label, c in (*sources, *([last] if last else []))]
+    enough = full[: len(sources)]
+    text = F.coalesce(*[F.when(n >= least, c) for _, c, n in enough], *[F.when(n > 0, c) for _, c, n in full], F.lit(""))
+    label = F.coalesce(*[F.when(n >= least, F.lit(k)) for k, _, n in enough], *[F.when(n > 0, F.lit(k)) for k, _, n in full], F.lit("none"))
     return text, label
 
 

@@ -331,7 +331,7 @@ def _filled(template: str, values: dict[str, Column]) -> Column:
 
 
 def forms(s, d) -> DataFrame:
-    """Form texts with their lines: as they are (lines), worded ones (all), contact and essay (split), and the contact's worded lines (worded), also folded (keys)."""
+    """Form texts with the text they were made from (body) and their lines: as they are (lines), worded ones (all), contact and essay (split), and the contact's worded lines (worded), also folded (keys)."""
     docs, customers, nations = T.read(s, d, "documents"), T.read(s, d, "customer"), T.read(s, d, "nation")
     joined = docs.join(customers.select(F.col("c_custkey").alias("doc_id"), "c_nationkey"), "doc_id", "left").join(F.broadcast(nations.select(F.col("n_nationkey").alias("c_nationkey"), "n_name")), "c_nationkey", "left")
     i = F.col("doc_id")
@@ -345,7 +345,7 @@ def forms(s, d) -> DataFrame:
     }
     header = F.coalesce(*[F.when(i % len(LAYOUTS) == k, _filled(t, values)) for k, t in enumerate(LAYOUTS)])
     footer = F.coalesce(*[F.when(F.floor(i / 12) % 4 == k, F.lit(t)) for k, t in enumerate(FOOTERS)])
-    whole = joined.select("doc_id", "source", F.concat(header, F.col("text"), footer).alias("text")).withColumn("lines", lines_of(X.trimmed(F.col("text"))))
+    whole = joined.select("doc_id", "source", F.col("text").alias("body"), F.concat(header, F.col("text"), footer).alias("text")).withColumn("lines", lines_of(X.trimmed(F.col("text"))))
     whole = whole.withColumn("all", solid(F.col("lines"))).withColumn("split", contact_split(F.col("lines")))
     return whole.withColumn("worded", solid(F.col("split.contact"))).withColumn("keys", folded_all(F.col("worded")))
 
@@ -374,6 +374,13 @@ def _contact(s, d):
     return forms(s, d).select("doc_id", F.length(joined(F.col("split.contact"))).alias("contact_chars"), F.length(strip_footer(F.col("split.essay"))).alias("essay_chars"))
 
 
+def _best(s, d):
+    """The essay of each form: as the split finds it, as extracted (even ids have such a text), or the whole form as a last resort."""
+    sources = forms(s, d).select("doc_id", strip_footer(F.col("split.essay")).alias("a"), F.when(F.col("doc_id") % 2 == 0, F.col("body")).alias("b"), X.trimmed(F.col("text")).alias("c"))
+    text, label = X.best_text(("a", F.col("a")), ("b", F.col("b")), last=("c", F.col("c")))
+    return sources.select("doc_id", F.length(text).alias("n"), label.alias("source"))
+
+
 def _predicates(s, d):
     rows = forms(s, d).select("doc_id", F.posexplode("all").alias("line_no", "line"))
     tests = {"name": P.plausible_name, "fragment": P.fragment, "label": P.label_line, "value": P.candidate, "low_name": P.low_name, "low_school": P.low_school, "school": P.plausible_school}
@@ -390,6 +397,7 @@ QUERIES = {
     "grade_wide": lambda s, d: forms(s, d).select("doc_id", grade_wide(F.col("lines")).alias("grade")),
     "strip_footer": lambda s, d: forms(s, d).select("doc_id", strip_footer(F.col("lines")).alias("essay")),
     "contact_essay_split": _contact,
+    "best_text": _best,
     "contact_fallbacks": lambda s, d: forms(s, d).select("doc_id", *[v.alias(k) for k, v in contact_fallbacks(F.col("split.contact")).items()]),
     "fallback_record": lambda s, d: fallback_record(forms(s, d)),
     "form_map_fields": lambda s, d: form_map_fields(_maps(s, d)),
@@ -432,6 +440,9 @@ fm_2 as (select *, list_transform(string_split({_TRIM.format("text")}, chr(10)),
 fm_3 as (select fm_2.*, list_filter(lines, lambda x: x <> '') as alls, lines[1:pos] as contact, lines[pos + 1:] as essay, list_filter(lines[1:pos], lambda x: x <> '') as worded from fm_2 join sp_8 using (doc_id)),
 fm as (select *, list_transform(worded, lambda x: {P.sql_folded("x")}) as keys from fm_3)
 """
+# The same by rows of documents, whose ids may repeat, with the text they were made from.
+ROW_FORMS = FORMS.replace(SPLIT, SPLIT.replace("doc_id", "row_no")).replace("join sp_8 using (doc_id)", "join sp_8 using (row_no)").replace("(select doc_id, source, ", "(select row_no, body, doc_id, source, ")
+ROW_FORMS = ROW_FORMS.replace("from documents left join", "from (select *, row_number() over () as row_no, text as body from documents) left join")
 some, sql_let = P.sql_some, P.sql_let
 
 
@@ -610,6 +621,10 @@ ORACLE = {
       nullif(regexp_extract(list_filter(case when pos is not null then lines[pos + 1:pos + 10] end, lambda x: regexp_full_match(x, '(?:1[0-2]|[1-9])(?:st|nd|rd|th)?') and not regexp_matches(lower(x), 'contest|deadline|date'))[1], '^(1[0-2]|[1-9])', 1), '')) as grade from gl""", FORMS, _ANCHOR),
     "strip_footer": T.sql(f"select doc_id, {sql_footer('lines')} as essay from fm", FORMS),
     "contact_essay_split": T.sql(f"select doc_id, length({P.sql_trim('array_to_string(contact, chr(10))')})::int as contact_chars, length({sql_footer('essay')})::int as essay_chars from fm", FORMS),
+    "best_text": T.sql(rf"""t as (select d.doc_id, {sql_footer('essay')} as a, case when d.doc_id % 2 = 0 then d.body end as b, {P.sql_trim('d.text')} as c from fm_2 d left join fm_3 using (row_no)),
+      u as (select *, {", ".join(rf"coalesce(len(regexp_extract_all({x}, '[^\x09-\x0D\x20]+')), 0) as n{x}" for x in "abc")} from t),
+      v as (select *, case when na >= 30 then 'a' when nb >= 30 then 'b' when na > 0 then 'a' when nb > 0 then 'b' when nc > 0 then 'c' else 'none' end as source from u)
+      select doc_id, (case source when 'a' then length(a) when 'b' then length(b) when 'c' then length(c) else 0 end)::int as n, source from v""", ROW_FORMS),
     "contact_fallbacks": T.sql("select doc_id, {} from fm".format(", ".join(f"{v} as {k}" for k, v in sql_contacts("contact").items())), FORMS),
     "fallback_record": T.sql(f"t as (select *, length(regexp_replace(text, '{_W}+', '', 'g')) as n from fm) select doc_id, n < 50 as is_blank, concat_ws(',', case when n < 50 then 'template_blank' end, case when contains(lower(text), 'student') then 'has_label' end, 'fallback') as notes from t", FORMS),
     "form_map_fields": "select doc_id, case when doc_id % 4 <> 0 then 'Ann ' || doc_id end as student_name, case when doc_id % 3 <> 0 then source end as school_name, (doc_id % 13)::varchar as grade from documents",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import duckdb
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -22,6 +23,39 @@ def test_labels_below_a_long_text(spark, tmp_path):
     assert not overlay[6] and overlay[12]
 
 
+def test_best_text_chooses_among_whole_texts(spark, tmp_path):
+    strong, weak = ("we two read all of it again " * 2000).strip(), "we two read all of it again and again at his house"
+    short, wordy = "one\n" * 6, "a b c d e f\n" * 6
+    rows = [(28, short + strong), (40, wordy + weak), (27, wordy + weak), (39, strong), (76, "few words"), (88, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    for name, columns in (("customer", "c_custkey long, c_nationkey long"), ("nation", "n_nationkey long, n_name string")):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+    got = {r["doc_id"]: (r["source"], r["n"]) for r in QUERIES["best_text"](spark, str(tmp_path)).collect()}
+    # A weak essay gives way to an extracted text with enough words, but not to the whole form.
+    assert got == {
+        28: ("a", len(strong)),
+        40: ("b", len(wordy + weak)),
+        27: ("a", len(weak)),
+        39: ("c", len("Hana Ember\nHill 9th grade\n" + strong)),
+        76: ("b", 9),
+        88: ("none", 0),
+    }
+
+
+def test_best_text_of_odd_rows(spark, same, tmp_path):
+    line, short = "we two read all of it again and again at his house", "one\n" * 6
+    rows = [(28, short + line), (28, short + line), (28, "a b c d e f\n" * 9 + line), (28, line), (28, None), (27, None), (None, line), (-4, line), (0, ""), (1, " \n\t"), (12, "a\r\nb\rc")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name, columns in (("customer", "c_custkey long, c_nationkey long"), ("nation", "n_nationkey long, n_name string")):
+        spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.sql(f"create table {name} ({columns})")
+    got = QUERIES["best_text"](spark, str(tmp_path))
+    assert got.count() == len(rows)
+    same(got, con.sql(registry.oracle_sql()["best_text"]))
+
+
 def test_signals_of_every_page(spark, tmp_path):
     rows = [(1, 0, "assistant", "word " * 40 + "\nSchool: Hill"), (1, 1, "assistant", "word " * 40 + "7th grade"), (1, 2, "assistant", "Alva Brook")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
