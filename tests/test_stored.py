@@ -8,6 +8,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from leafmark.sources import stored
 from leafmark.sources.stored import Conflict, StoredTable
 
 ROWS = 2000
@@ -81,6 +82,58 @@ def test_a_group_that_grows(spark, tmp_path):
     assert {r["it"]: (r["n"], r["s"]) for r in got} == {True: (130, -sum(range(130))), False: (590, sum(v for v in range(600) if v % 60 != 7))}
 
 
+def size_of(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_files_take_no_more_room_than_their_rows(spark, tmp_path):
+    rows = spark.range(ROWS).select((F.col("id") * 7919 % 100_003).alias("a"), F.col("id").alias("b"))
+    table = StoredTable(spark, str(tmp_path / "s"), ("a", "b"), ("a", "b"), 100)
+    table.create(rows)
+    assert 18 <= table.files().count() <= 24 and size_of(tmp_path / "s" / "data") < 24 * 20_000
+    # An update leaves its new files and nothing else that it has written.
+    table.update(rows.where("b % 50 = 1"), lambda own: own.where("b % 50 <> 1"))
+    listed = names(table.files(1)) | names(table.files())
+    found = {os.path.relpath(os.path.join(at, f), tmp_path / "s") for at, _, files in os.walk(tmp_path / "s" / "data") for f in files if f.endswith(".parquet")}
+    assert found == listed and table.read().count() == ROWS - ROWS // 50
+
+
+def test_large_tables_have_larger_files_and_as_good_bitmaps(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "MOST_FILES", 4)
+    monkeypatch.setattr(stored, "FILE_ROWS", 1000)
+    rows = spark.range(12_000).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.col("id").alias("at"))
+    table = StoredTable(spark, str(tmp_path / "l"), ("key",), ("at",), 500)
+    table.create(rows)
+    files = table.files().collect()
+    assert len(files) <= 8 and max(r["rows"] for r in files) == 3000 and {len(r["keys"]) for r in files} == {3 * stored.BITS // 8}
+    assert sum(bin(b).count("1") for r in files for b in r["keys"]) > 10_500
+    for i in (0, 5999, 11_999):
+        found = table.lookup([(key_of(i),)])
+        assert [r["at"] for r in found.collect()] == [i] and len(found.inputFiles()) <= 2
+    assert table.upsert(spark.createDataFrame([(key_of(3), -3), ("new", 12_001)], "key string, at long")) == 2
+    got = {r["key"]: r["at"] for r in table.read().collect()}
+    assert got == {key_of(i): i for i in range(12_000)} | {key_of(3): -3, "new": 12_001} and len(names(table.files()) & {r["file"] for r in files}) == len(files) - 1
+    assert [r["at"] for r in table.lookup([("new",), (key_of(3),)]).orderBy("at").collect()] == [-3, 12_001]
+
+
+def test_shuffles_go_with_their_step_and_rows_are_made_once(spark, table):
+    setting, runs = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    own = spark.conf.getAll.get(setting)
+    once = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(v):
+        once.add(1)
+        return v
+
+    def change(rows):
+        runs.append(spark.conf.get(setting))
+        return rows.withColumn("value", counted("value"))
+
+    table.update(spark.createDataFrame([(key_of(5),)], "key string"), change)
+    assert runs == ["true"] and once.value == 100 and spark.conf.getAll.get(setting) == own
+
+
 def test_failed_and_competing_commits_change_nothing(spark, table, monkeypatch):
     delta = spark.createDataFrame([(key_of(1), dt.datetime(2023, 11, 14), 0, 0)], "key string, at timestamp, value long, group long")
     with pytest.raises(Exception, match="broken"):
