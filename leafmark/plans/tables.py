@@ -42,7 +42,11 @@ def _sql_pick(values: tuple[str, ...], index: str) -> str:
 
 def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per document: identity, extracted fields, stored review state."""
-    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return records_of(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left"))
+
+
+def records_of(docs: DataFrame, *more: str) -> DataFrame:
+    """Records of documents with their quality, and more of their columns."""
     i = F.col("doc_id")
     school = F.coalesce(*[F.when(F.col("lang") == k, v) for k, v in SCHOOLS.items()])
     form = i % 9
@@ -58,7 +62,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 19 == 0, None).when(i % 15 == 12, "K").when(i % 15 == 11, "Grade 11").when(i % 15 == 10, "10th").otherwise((i % 15).cast("string"))
     )
     words = F.when(i % 29 == 0, F.lit(0)).otherwise(F.floor(F.col("n_chars") / 6)).cast("long")
-    base = docs.join(labels, "doc_id", "left").select(
+    base = docs.select(
         "doc_id",
         F.substring(F.sha2("text", 256), 1, 12).alias("submission_id"),
         F.col("source").alias("owner_user_id"),
@@ -79,6 +83,7 @@ def submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (i % 10).alias("batch_id"),
         F.when(i % 4 == 0, "manual").when(i % 4 == 1, "batch_default").otherwise("extracted").alias("school_source"),
         F.coalesce("quality", F.lit(1)).alias("quality"),
+        *more,
     )
     codes = F.array_compact(
         F.array(

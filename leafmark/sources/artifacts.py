@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leafmark.operators import review
 from leafmark.sources.folders import ArtifactFolders
+from leafmark.sources.shared import shuffles_dropped
 
 #: Two traps of old files: codes as a list or as text, and grades as numbers or text. Both are read as text. Keys that are not named here, private
 #: ones among them, are dropped.
@@ -31,10 +32,18 @@ def folders(spark: SparkSession, root: str, names: tuple[str, ...] = ()) -> Data
     return spark.read.format("artifact_folders").option("names", ",".join(names)).load(root)
 
 
-def write_folders(files: DataFrame, root: str) -> None:
-    """Files (folder, name, body) under their own names. A folder's files are written by one task."""
-    files.sparkSession.dataSource.register(ArtifactFolders)
-    files.select("folder", "name", "body").repartition("folder").write.format("artifact_folders").mode("append").save(root)
+def write_folders(files: DataFrame, root: str, packed: bool = False, dealt: bool = False) -> None:
+    """Files (folder, name, body) under their own names. A folder's files are written by one task.
+
+    packed: into archives of whole folders, which take a fraction of the disk that small files do; such a root is written once. dealt: rows of a folder
+    already follow one another in one task, so they need no shuffle.
+    """
+    spark, rows = files.sparkSession, files.select("folder", "name", "body")
+    spark.dataSource.register(ArtifactFolders)
+    if not dealt:
+        rows = rows.repartition("folder").sortWithinPartitions("folder") if packed else rows.repartition("folder")
+    with shuffles_dropped(spark):
+        rows.write.format("artifact_folders").option("packed", str(packed).lower()).mode("append").save(root)
 
 
 def _body(name: str) -> Column:

@@ -62,11 +62,14 @@ def _stream_logs(s, d):
 
 
 def _artifact_files(s, d):
-    """(folder, name, body) of every submission's artifacts: some lack a file, some have one that breaks off or is empty."""
+    """(folder, name, body) of every submission's artifacts: some lack a file, some have one that breaks off or is empty.
+
+    Records are dealt by folder with their text, once, and become files only then; labels decide nothing here, so they are not joined.
+    """
     i = F.col("doc_id")
     quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
-    texts = T.read(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    subs = T.submissions(s, d).join(texts, "doc_id").withColumn("stored", F.when(i % 2 == 0, quoted("review_reason_codes")).otherwise(F.concat(F.lit('["'), F.replace("review_reason_codes", F.lit(";"), F.lit('", "')), F.lit('"]'))))
+    docs = T.read(s, d, "documents").where("doc_id is not null").withColumn("quality", F.lit(None).cast("int"))
+    subs = T.records_of(docs, "text").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("stored", F.when(i % 2 == 0, quoted("review_reason_codes")).otherwise(F.concat(F.lit('["'), F.replace("review_reason_codes", F.lit(";"), F.lit('", "')), F.lit('"]'))))
     structured = [F.lit('{"_private": {"a": 1}, "word_count": '), F.col("word_count").cast("string")]
     for c in ("student_name", "school_name", "grade", "doc_type", "format", "extraction_method"):
         structured += [F.lit(f', "{c}": '), quoted(c)]
@@ -82,7 +85,8 @@ def _artifact_files(s, d):
         "original.jpg": (i % 3 == 1, F.lit("JPEG")),
     }
     files = F.array(*[F.when(there, F.struct(F.lit(name).alias("name"), body.alias("body"))) for name, (there, body) in bodies.items()])
-    return subs.select(F.concat(F.lit("a-"), i.cast("string")).alias("folder"), F.inline(F.array_compact(files)))
+    dealt = subs.withColumn("folder", F.concat(F.lit("a-"), i.cast("string"))).repartition("folder").sortWithinPartitions("folder")
+    return dealt.select("folder", F.inline(F.array_compact(files)))
 
 
 def _on_artifacts(operator):
@@ -90,7 +94,7 @@ def _on_artifacts(operator):
 
     def run(s, d):
         root = shared_dir(s)
-        artifacts.write_folders(_artifact_files(s, d), root)
+        artifacts.write_folders(_artifact_files(s, d), root, packed=True, dealt=True)
         return operator(s, root)
 
     return run
