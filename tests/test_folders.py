@@ -148,7 +148,7 @@ def test_a_damaged_archive_fails_the_read(spark, tmp_path):
         artifacts.folders(spark, str(tmp_path)).collect()
 
 
-@pytest.mark.parametrize("name", ["import_artifacts", "artifact_health"])
+@pytest.mark.parametrize("name", ["import_artifacts", "artifact_health", "artifact_health_summary"])
 def test_folders_of_queries_take_less_disk_than_their_contents(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(queries, "shared_dir", lambda s: str(tmp_path / "root"))
     assert queries.QUERIES[name](spark, SF).count() > 0
